@@ -44,19 +44,11 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], costs: Mapping[i
 
     def expected(space: int) -> int:
         """Places that the largest waiting items would fill of ``space``, each length as often as it waits."""
-        left = space
-        while left and (below := present & ((1 << (left + 1)) - 1) & ~1):
+        left, mask = space, present
+        while below := mask & ((1 << (left + 1)) - 1) & ~1:
             x = below.bit_length() - 1
-            n = min(left // x, waiting[x])
-            left -= n * x
-            if n == waiting[x]:  # all of them: go on with shorter ones
-                nearest = present & ((1 << min(x, left + 1)) - 1) & ~1
-                if not nearest:
-                    break
-                left_after = left - (nearest.bit_length() - 1)
-                if left_after < 0:
-                    break
-                left = left_after
+            left -= min(left // x, waiting[x]) * x
+            mask = below ^ (1 << x)
         return space - left
 
     for i in order:
