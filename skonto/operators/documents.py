@@ -6,7 +6,7 @@ Everything is column functions on a text column, so it runs where the texts are;
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +94,10 @@ def complete_amounts(fields: DataFrame) -> DataFrame:
     return fields.withColumns({"net_cents": new_net, "vat_cents": new_vat, "gross_cents": new_gross, "derived": told})
 
 
+def _reference(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("ref_type"), F.regexp_replace(value, r"[.\-/]+$", "").alias("value"))
+
+
 def extract_references(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, ref_type, value, normalized): labelled reference numbers, each once. ``extra`` adds words to a type's labels."""
     value = r"((?:[A-ZÄÖÜ]{1,4}[ \-/])?(?=[\w\-/.]*\d)[\w\-/.]{2,32})"
@@ -101,7 +105,7 @@ def extract_references(documents: DataFrame, doc_id: str = "doc_id", text: str =
     for kind, labels in R.REFERENCES.items():
         words = "|".join([labels, *(rf"\Q{w}\E" for w in (extra or {}).get(kind, []))])
         hits = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"{_label(words, FLAGS)}[ \t]*[:#.]?[ \t]*\n?[ \t]*{value}"), F.lit(1))
-        found.append(F.transform(hits, lambda v, k=kind: F.struct(F.lit(k).alias("ref_type"), F.regexp_replace(v, r"[.\-/]+$", "").alias("value"))))
+        found.append(F.transform(hits, partial(_reference, kind)))
     rows = documents.select(doc_id, F.explode(F.flatten(F.array(*found))).alias("r")).select(doc_id, "r.ref_type", "r.value")
     fit = rows.withColumn("normalized", normalize_reference(F.col("value"))).where((F.length("normalized") >= 3) & ~F.col("value").rlike(rf"^(?:\d{{1,2}}\.\d{{1,2}}\.\d{{2,4}}|{R.AMOUNT})$"))
     return fit.groupBy(doc_id, "ref_type", "normalized").agg(F.min("value").alias("value"))
