@@ -24,7 +24,7 @@ LEAST_QUALITY = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier doesn't call toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~op4.HELD_OUT)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~F.expr(op4.HELD_OUT))
     if model.calibration is None:
         return docs
     return toxicity.scored(docs, model, score="toxic_score").where(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score")
@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model doesn't call low quality."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), ~op7.HELD_OUT)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~F.expr(op7.HELD_OUT))
     if not model.tables:
         return docs
     return quality.scored(docs, model, score="quality_score").where(F.col("quality_score") >= LEAST_QUALITY).drop("quality_score")

@@ -10,16 +10,16 @@ from skonto.llm.toxicity import THRESHOLD, scored, train
 
 NAME = "op4_toxicity"
 
-HELD_OUT = F.expr("coalesce(crc32(cast(id as string)) % 3 = 1, false)")
+HELD_OUT = "coalesce(crc32(cast(id as string)) % 3 = 1, false)"
 
 
 def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns; the model learns from labelled rows that are not held out."""
-    model = train(documents, labels, ~HELD_OUT)
+    model = train(documents, labels, ~F.expr(HELD_OUT))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # the text stays behind in the task: only id and score leave it
     return scored(rows, model).select(
-        F.col("id").alias("doc_id"), HELD_OUT.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        F.col("id").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 

@@ -10,12 +10,12 @@ from skonto.llm.common import table
 
 NAME = "op6_additive_quantisation"
 
-QUERIES = F.expr("id % 20 = 0")
+QUERIES = "id % 20 = 0"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6 over all vectors."""
-    return nearest(table(spark, sf_dir, "embeddings"), QUERIES)
+    return nearest(table(spark, sf_dir, "embeddings"), F.expr(QUERIES))
 
 
 #: The exact answer; as long as a block of candidates is no larger than the shortlist, so is the operator's.
