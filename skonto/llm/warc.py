@@ -30,6 +30,8 @@ from skonto.llm.common import materialise, new_path
 
 #: Plain bytes of a frame and of a bundle, about; a longer record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Plain bytes of the records that one task reads back.
+READ_BYTES = 64 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 
@@ -216,8 +218,9 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
     """Every record of the bundles that ``index`` names, each frame read alone through the seek tables."""
     bundles = index.select("bundle").distinct()
     frames = bundles.mapInArrow(_frames(folder), "bundle string, at long, packed long, plain long")
-    # frames are dealt out anew, so that a few large bundles still occupy many tasks
-    dealt = frames.repartition(F.col("bundle"), F.col("at"))
+    # Frames are dealt out anew by what they will hold: their rows are tiny, so Spark itself would put them all into one task.
+    total = index.agg(F.sum("record_size").alias("n")).first().n or 0
+    dealt = frames.repartition(max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES)), F.col("bundle"), F.col("at"))
     return dealt.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
