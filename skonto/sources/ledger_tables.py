@@ -20,8 +20,8 @@ EARLY_RATES = (("1995-01-01", 350), ("1996-01-01", 300), ("1997-07-01", 250), ("
 
 
 def cents(value: Column) -> Column:
-    """Cents of an amount that is a floating number."""
-    return F.round(value * 100).cast("bigint")
+    """Cents of a floating amount that is not negative, halves up; ``round`` would make a decimal of every value."""
+    return F.floor(value * 100 + 0.5).cast("bigint")
 
 
 @dataclass(frozen=True)
