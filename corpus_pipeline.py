@@ -4,8 +4,8 @@ Each stage takes all documents that its predecessor kept, with all their columns
 the labels of documents that are still there and not held out by the operators' own rule.
 
 Defined cases: a document without text is scored like an empty one and is no copy of anything; documents without an id
-are each kept by the stage on copies; of rows that repeat an id with its text one stays there; an empty table
-passes all stages.
+are each kept by the stage on copies; of rows that repeat an id with its text one stays there; rows that share an id,
+or have none, but differ in their texts are documents of their own; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ from skonto.llm.packing import pack
 
 #: A document that is likelier of low quality than not goes. Without labels of both kinds nothing goes.
 LEAST_QUALITY = 0.5
+ROW = "_row"
+
+
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` written with a number for each row, because ids may be null and may repeat."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +46,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each class of similar documents."""
-    classes = materialise(jaccard_join(docs), "copy-classes")
-    kept = classes.where(F.col("class_id") == F.col("doc_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    docs = numbered(docs, "numbered-for-copies")
     key = F.col("doc_id").cast("long")
-    named = docs.where(key.isNotNull()).join(kept, key == F.col("kept_id"), "left_semi")
-    # an id that repeats stays once
-    once = named.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(key.isNull()))
+    named = docs.where(key.isNotNull())
+    classes = materialise(jaccard_join(named, ROW), "copy-classes").select(F.col("doc_id").alias(ROW), "class_id")
+    ids = named.select(ROW, key.alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    first = ids.join(classes, ROW).groupBy("class_id").agg(F.min(F.struct("id", "digest", ROW)).alias("first")).select("first.*")
+    # texts without words are classes of their own; an id that repeats with such a text stays once
+    kept = first.groupBy("id", "digest").agg(F.min(ROW).alias(ROW))
+    return named.join(kept, ROW, "left_semi").drop(ROW).unionByName(docs.where(key.isNull()).drop(ROW))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark's passages."""
-    judged = op1.judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(judged, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    docs = numbered(docs, "numbered-for-benchmark")
+    judged = op1.judged(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return docs.join(bad, ROW, "left_anti").drop(ROW)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

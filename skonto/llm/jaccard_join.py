@@ -7,8 +7,8 @@ verified on the full n-gram sets, in blocks of bounded size, and only counts and
 
 Defined cases: a text of fewer words than an n-gram has one n-gram of all its words; a null or wordless text has none,
 is similar to nothing and is its own class; a row without an id is no document: it is returned without class and
-links; rows that repeat an id with its text count as documents of their own with that id; columns other than the
-named ones are ignored, whatever they are called.
+links; rows that repeat an id, with its text or with another, count as documents of their own with that id; columns
+other than the named ones are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def _signatures(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.Recor
                     for r, x in zip(full.tolist(), joined.tolist()):
                         hashed[r] = x
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(count), pa.array(hashed, pa.list_(pa.int64()))],
-                    names=["doc_id", "ngrams", "n", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(count), pa.array(hashed, pa.list_(pa.int64()))],
+                    names=["doc_id", "digest", "ngrams", "n", "bands"],
                 )
 
     return run
@@ -208,12 +208,17 @@ def jaccard_join(
     """
     bands, rows = bands_and_rows(similarity, recall, hashes)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, ngrams binary, n int, bands array<long>"), "signatures")
+    docs = docs.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    to_sign = docs.select("doc_id", "text", "digest")
+    signed = materialise(to_sign.mapInArrow(_signatures(words, bands, rows), "doc_id long, digest binary, ngrams binary, n int, bands array<long>"), "signatures")
     named = signed.where("doc_id is not null and ngrams is not null")
+    # An id may stand for several texts, so a class has a number of its own and is found again by id and digest.
     classes = materialise(
-        named.groupBy("ngrams").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
-        ),
+        named.groupBy("ngrams")
+        .agg(
+            F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        )
+        .select("ngrams", F.monotonically_increasing_id().alias("rep"), "first.doc_id", "first.digest", "copies", "n", "bands"),
         "ngram-classes",
     )
 
@@ -222,12 +227,12 @@ def jaccard_join(
     stars = banded.join(buckets, "band").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     candidate = components(stars)
 
-    members = candidate.join(classes.select("rep", "copies", "n"), candidate.node == F.col("rep")).select("rep", "label", "copies", "n")
+    members = candidate.join(classes.select("rep", "doc_id", "digest", "copies", "n"), candidate.node == F.col("rep")).select("rep", "doc_id", "digest", "label", "copies", "n")
     sizes = members.groupBy("label").agg(
         F.greatest(F.ceil(F.sum("n") / block_ngrams), F.ceil(F.count("*") / block_texts)).cast("int").alias("blocks")
     )
-    members = members.join(sizes, "label").select("rep", "label", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    held = docs.join(members, docs.doc_id == members.rep).select("rep", "label", "copies", "blocks", "block", "text")
+    members = members.join(sizes, "label").select("rep", "doc_id", "digest", "label", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    held = docs.join(members, ["doc_id", "digest"]).select("rep", "label", "copies", "blocks", "block", "text")
     sets = held.mapInArrow(_sets(words), "rep long, label long, copies long, blocks int, block int, grams binary")
     paired = sets.select(
         "rep", "label", "copies", "blocks", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -238,11 +243,14 @@ def jaccard_join(
     joined = components(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
 
+    labels = joined.withColumnRenamed("node", "rep")
+    smallest = labels.join(classes.select("rep", "doc_id"), "rep").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+
     known = (
-        classes.select("ngrams", "rep", "copies")
+        classes.select("ngrams", "rep", "doc_id", "copies")
         .join(links, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("ngrams", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .join(labels.join(smallest, "label"), "rep", "left")
+        .select("ngrams", F.coalesce("smallest", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     with_words = named.select("doc_id", "ngrams").join(known, "ngrams", "left").select("doc_id", "class_id", "n_links")
     without = signed.where("doc_id is null or ngrams is null").select(
