@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skonto.llm import textbytes as T
-from skonto.llm.training import LONGEST, PER_CLASS, Sample, labelled_sample
+from skonto.llm.training import LONGEST, PER_CLASS, Sample, fit_in_task, labelled_sample
 
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, SMOOTH = 120, 60, 0.15, 5.0
@@ -190,7 +190,7 @@ def fit_sample(sample: Sample) -> QualityModel:
 
 def train(documents: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> QualityModel:
     """A model from a bounded sample of labelled documents, see ``labelled_sample``."""
-    return fit_sample(labelled_sample(documents, labels, label, usable, doc_id, text, per_class, longest))
+    return fit_in_task(*labelled_sample(documents, labels, label, usable, doc_id, text, per_class, longest), fit_sample)
 
 
 def scored(documents: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:

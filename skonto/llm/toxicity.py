@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skonto.llm import textbytes as T
-from skonto.llm.training import LONGEST, PER_CLASS, Logistic, Sample, labelled_sample
+from skonto.llm.training import LONGEST, PER_CLASS, Logistic, Sample, fit_in_task, labelled_sample
 
 WINDOW = 64
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 1_280
+#: So many of the sample's ordinary texts at most, evenly picked, train the ordinary dictionary.
+ORDINARY_TEXTS = 2000
 #: A word beginning is distinctive in this share of toxic texts and at so many times its rate in ordinary texts.
 SHARE, TIMES = 0.03, 20
 SHORTEST, LONGEST_BEGINNING = 3, 12
@@ -107,19 +109,26 @@ def _beginnings(w: T.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """For each toxic text its distinctive word beginnings, each after a blank and before one if it is the whole word."""
 
-    def often(texts: list[str]) -> dict[int, int]:
-        seen = []
-        for t in texts:
-            w = T.words(*T.buffers(pa.array([t])))
-            seen.append(np.unique(np.concatenate([h for _, _, h in _beginnings(w)])))
-        some, n = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
-        return dict(zip(some.tolist(), n.tolist()))
-
-    here, there = often(toxic), often(ordinary)
-    least = max(3, SHARE * len(toxic))
-    good = np.array(
-        [h for h, n in here.items() if n >= least and n / len(toxic) >= TIMES * (there.get(h, 0) + 1) / (len(ordinary) + 1)], np.uint64
-    )
+    def of(t: str) -> np.ndarray:
+        w = T.words(*T.buffers(pa.array([t])))
+        return np.unique(np.concatenate([h for _, _, h in _beginnings(w)]))
+
+    def counted(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """In how many texts each beginning occurs; a few hundred texts' beginnings are held at a time."""
+        some, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for lo in range(0, len(texts), 250):
+            seen = np.concatenate([of(t) for t in texts[lo : lo + 250]])
+            more, m = np.unique(seen if among is None else seen[np.isin(seen, among)], return_counts=True)
+            some, where = np.unique(np.concatenate([some, more]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, m])).astype(np.int64)
+        return some, n
+
+    here, n = counted(toxic)
+    often = n >= max(3, SHARE * len(toxic))
+    here, n = here[often], n[often]
+    there = dict(zip(*(x.tolist() for x in counted(ordinary, here))))
+    other = np.array([there.get(h, 0) for h in here.tolist()])
+    good = here[n / max(len(toxic), 1) >= TIMES * (other + 1) / (len(ordinary) + 1)]
     out = []
     for t in toxic:
         w = T.words(*T.buffers(pa.array([t])))
@@ -178,7 +187,7 @@ def fit(sample: Sample) -> ToxicityModel:
     ordinary = [t for t, y in zip(texts, sample.y[learn]) if not y]
     toxic = [t for t, y in zip(texts, sample.y[learn]) if y]
     pieces = []
-    for _, _, data, offsets in T.chunks(pa.array(ordinary[:: max(1, len(ordinary) // 2000)])):
+    for _, _, data, offsets in T.chunks(pa.array(ordinary[:: -(-len(ordinary) // ORDINARY_TEXTS)])):
         low = T.LOWER[data]
         edges, _ = windows(low, offsets, 2 * WINDOW)
         raw = low.tobytes()
@@ -198,7 +207,7 @@ def fit(sample: Sample) -> ToxicityModel:
 
 def train(documents: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> ToxicityModel:
     """A model from a bounded sample of labelled documents, see ``labelled_sample``."""
-    return fit(labelled_sample(documents, labels, label, usable, doc_id, text, per_class, longest))
+    return fit_in_task(*labelled_sample(documents, labels, label, usable, doc_id, text, per_class, longest), fit)
 
 
 def scored(documents: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:

@@ -1,17 +1,20 @@
-"""Bounded samples of labelled documents, and the logistic calibration that the classifiers share."""
+"""Bounded samples of labelled documents, models fitted in a task, and the logistic calibration that the classifiers share."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most training texts of each class, and the longest text in bytes that a model learns from.
+#: Bounds of the sample that a model learns from: most texts of each class, and the longest text in bytes.
 PER_CLASS = 4000
-LONGEST = 65_536
+LONGEST = 16_384
 
 
 @dataclass
@@ -31,12 +34,12 @@ class Sample:
 
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, usable: Column, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST
-) -> Sample:
-    """Up to about ``per_class`` usable labelled texts of each class, chosen by a hash of their id.
+) -> tuple[DataFrame, tuple[int, int]]:
+    """(id, text, y) of up to about ``per_class`` usable labelled texts of each class, chosen by a hash of their id, and how
+    many labelled rows of class 0 and 1 there are.
 
     A row is usable if ``usable``, a condition on the column ``id``, holds. Rows without id or label, and texts longer
-    than ``longest`` bytes, teach nothing; of several labels of an id the largest counts. The sample is bounded, so it
-    may come to the driver.
+    than ``longest`` bytes, teach nothing; of several labels of an id the largest counts, of several texts the smallest.
     """
     known = (
         labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
@@ -52,11 +55,26 @@ def labelled_sample(
         F.octet_length("text") <= longest
     )
     # at most a few thousand ids, so they go to every task and the documents stay where they are
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("text").alias("text"), F.first("y").alias("y")).toArrow()
-    order = np.argsort(rows["id"].to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
-    spread = np.array([(int(i) * 0x9E3779B97F4A7C15 >> 32) % 1000 for i in rows["id"].to_pylist()], np.int64)
-    return Sample(rows["text"].combine_chunks(), rows["y"].to_numpy().astype(np.int64), spread, (total.get(0, 0), total.get(1, 0)))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return rows, (total.get(0, 0), total.get(1, 0))
+
+
+def fit_in_task(rows: DataFrame, total: tuple[int, int], fit: Callable[[Sample], Any]) -> Any:
+    """What ``fit`` makes of the bounded sample ``rows``. One task fits; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("text", pa.string()), ("y", pa.int32())]))
+        ids = held["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        held = held.take(pa.array(order))
+        spread = np.array([(int(i) * 0x9E3779B97F4A7C15 >> 32) % 1000 for i in ids[order]], np.int64)
+        sample = Sample(held["text"].combine_chunks(), held["y"].to_numpy().astype(np.int64), spread, total)
+        yield pa.record_batch([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+
+    fitted = rows.select("id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    if fitted is None:  # Spark runs no task on what it knows to be empty
+        return fit(Sample(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), total))
+    return pickle.loads(fitted.model)
 
 
 @dataclass
