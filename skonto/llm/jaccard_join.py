@@ -2,8 +2,10 @@
 
 Texts with the same n-gram set are one class. Each class has a MinHash signature cut into bands; classes with an
 equal band meet in a bucket. A bucket gives only links from its members to its smallest member, so a bucket of n
-gives n - 1 rows; the components of these links hold every pair that shares a band. Within a component all pairs are
-verified on the full n-gram sets, in blocks of bounded size, and only counts and spanning links leave a block.
+gives n - 1 rows; the components of these links hold every pair that shares a band. Within a component pairs are
+verified on the full n-gram sets, in blocks of bounded size, and only counts and spanning links leave a block. Two sets of
+n and m n-grams can only reach a similarity s if ``s n <= m``: a component is cut into classes of sizes a factor 1 / s apart,
+and a block meets the blocks of its own class and of the next one.
 
 Defined cases: a text of fewer words than an n-gram has one n-gram of all its words; a null or wordless text has none,
 is similar to nothing and is its own class; a row without an id is no document: it is returned without class and
@@ -20,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skonto.llm import textbytes as T
@@ -32,9 +34,9 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 #: Most MinHash values of a signature.
 HASHES = 128
-#: A block of a component holds about so many n-grams and so many texts at most.
-BLOCK_NGRAMS = 2_000_000
-BLOCK_TEXTS = 2048
+#: A block of a component's size class holds about so many n-grams and so many texts.
+BLOCK_NGRAMS = 1_000_000
+BLOCK_TEXTS = 512
 #: n-grams in more texts of a block than this are counted by matrix products, the others pair by pair.
 COMMON = 48
 
@@ -144,6 +146,13 @@ def shared_counts(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
+def size_class(n: Column, similarity: float) -> Column:
+    """The class of a set of ``n``: sizes of which one is at most ``1 / similarity`` times the other are of one class or neighbours."""
+    # the small step keeps sizes that lie just on an edge, where the logarithm may round down, within the next class
+    width = math.log(1 / similarity) + 1e-9 if similarity < 1 else 1e-6
+    return F.floor(F.log(n) / width).cast("int")
+
+
 def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """For each of n texts the smallest text that it reaches by links between left and right."""
     root = np.full(n, -1)
@@ -168,17 +177,17 @@ def _verify(similarity: float) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         rep = t["rep"].to_numpy()
         rep, keep = np.unique(rep, return_index=True)
-        copies, block = t["copies"].to_numpy()[keep], t["block"].to_numpy()[keep]
+        copies, is_right = t["copies"].to_numpy()[keep], t["right"].to_numpy(zero_copy_only=False)[keep]
         grams = t["grams"].take(pa.array(keep)).to_pylist()
         grams = [np.frombuffer(x, np.uint64) for x in grams]
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        alone = not t["across"][0].as_py() and t["i"][0].as_py() == t["j"][0].as_py()
+        left, right = np.flatnonzero(~is_right), np.flatnonzero(is_right | alone)
         n = np.array([len(x) for x in grams], np.int64)
         both = n[left][:, None] + n[right][None, :]
         linked = (s.numerator + s.denominator) * shared_counts(grams, left, right) >= s.numerator * both
         linked &= both > 0
         links = np.zeros(len(rep), np.int64)
-        if i == j:
+        if alone:
             np.fill_diagonal(linked, False)
             links[left] = linked @ copies[right]
         else:
@@ -228,17 +237,29 @@ def jaccard_join(
     candidate = components(stars)
 
     members = candidate.join(classes.select("rep", "doc_id", "digest", "copies", "n"), candidate.node == F.col("rep")).select("rep", "doc_id", "digest", "label", "copies", "n")
-    sizes = members.groupBy("label").agg(
+    # Each n-gram set goes to the blocks of its size class and to the meetings with those of the class below and above.
+    sized = members.withColumn("size", size_class(F.col("n"), similarity))
+    blocks = sized.groupBy("label", "size").agg(
         F.greatest(F.ceil(F.sum("n") / block_ngrams), F.ceil(F.count("*") / block_texts)).cast("int").alias("blocks")
     )
-    members = members.join(sizes, "label").select("rep", "doc_id", "digest", "label", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    held = docs.join(members, ["doc_id", "digest"]).select("rep", "label", "copies", "blocks", "block", "text")
-    sets = held.mapInArrow(_sets(words), "rep long, label long, copies long, blocks int, block int, grams binary")
-    paired = sets.select(
-        "rep", "label", "copies", "blocks", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("rep", "copies", "block", "grams", "label", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    around = lambda name, step: blocks.select("label", (F.col("size") + step).alias("size"), F.col("blocks").alias(name))
+    placed = (
+        sized.join(blocks, ["label", "size"])
+        .join(around("below", 1), ["label", "size"], "left")
+        .join(around("above", -1), ["label", "size"], "left")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    )
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    block, missing = F.col("block"), F.lit(0)
+    within = F.transform(upto(F.col("blocks")), lambda k: F.struct(F.col("size").alias("size"), F.lit(False).alias("across"), F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (block > k).alias("right")))
+    upward = F.transform(upto(F.coalesce("above", missing)), lambda k: F.struct(F.col("size").alias("size"), F.lit(True).alias("across"), block.alias("i"), k.alias("j"), F.lit(False).alias("right")))
+    downward = F.transform(upto(F.coalesce("below", missing)), lambda k: F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("across"), k.alias("i"), block.alias("j"), F.lit(True).alias("right")))
+    held = docs.join(placed.select("rep", "doc_id", "digest", "label", "copies", F.concat(within, upward, downward).alias("meets")), ["doc_id", "digest"]).select("rep", "label", "copies", "meets", "text")
+    meet = "array<struct<size:int,across:boolean,i:int,j:int,right:boolean>>"
+    sets = held.mapInArrow(_sets(words), f"rep long, label long, copies long, meets {meet}, grams binary")
+    paired = sets.select("rep", "label", "copies", "grams", F.inline("meets"))
     verified = materialise(
-        paired.groupBy("label", "i", "j").applyInArrow(_verify(similarity), "rep long, links long, root long"), "verified"
+        paired.groupBy("label", "size", "across", "i", "j").applyInArrow(_verify(similarity), "rep long, links long, root long"), "verified"
     )
     joined = components(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
