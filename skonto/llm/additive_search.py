@@ -4,15 +4,17 @@ A vector is approximated by the sum of one full-dimensional code word from each
 trained on a bounded sample: residual k-means gives a start, then beam-search encoding and a least-squares update of
 all code words alternate. Every vector is encoded by beam search and stored as its codes and the norm of their sum.
 
-A search looks at every code: for a block of queries the inner products with all code words make lookup tables, a
-vector's approximate score is the sum of its codes' entries (and, for distances, its stored norm), and the best of each
-block of vectors are scored again exactly, in double precision. Only the nearest of a block leave it.
+A search looks at every code, and at codes only: for a block of queries the inner products with all code words make lookup
+tables, and a vector's approximate score is the sum of its codes' entries (and, for distances, its stored norm). The
+best of all blocks are a query's shortlist. Then the vectors on the shortlists of some hundred queries are fetched, each
+once, and scored again exactly, in double precision and in the precision that they are stored in.
 
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold. Equal queries are
 searched once.
 
 Defined cases: vectors that are null, zero, of another length than most (ties: the shorter), or hold null or non-finite
-components take no part, neither do rows without an id; rows that repeat id and vector count once; a query's own id is never its
+components take no part, neither do rows without an id; rows that repeat id and vector count once; an id with several
+vectors asks with the smallest of them and may be found with each; a query's own id is never its
 neighbour; fewer candidates than wanted are all found; columns other than the named ones are ignored, whatever they are
 called; no vectors give no rows.
 """
@@ -26,18 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from skonto.llm.common import materialise
 
 INNER, DISTANCE = "inner", "distance"
-CODEBOOKS, WORDS, BEAM = 16, 128, 4
-#: Vectors that train the codebooks, about; 8192 of 64 floats are 2 MB on the driver.
+CODEBOOKS, WORDS, BEAM = 32, 64, 2
+#: Vectors that train the codebooks, about; one task fits them.
 SAMPLE = 8192
-#: Vectors of a block of candidates, queries of a block, and the least number of blocks of each.
-CANDIDATES, QUERIES, LEAST_CANDIDATES, LEAST_QUERIES = 65_536, 4096, 4, 3
-#: So many of each block are scored exactly for each query.
-SHORTLIST = 384
+#: Codes of a block of candidates, queries of a block, and the least number of blocks of each.
+CANDIDATES, QUERIES, LEAST_CANDIDATES, LEAST_QUERIES = 131_072, 4096, 2, 3
+#: So many vectors are scored exactly for each query.
+SHORTLIST = 320
+#: Queries whose shortlists are scored together.
+TOGETHER = 256
 
 
 @dataclass
@@ -122,6 +127,15 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
+def _fit(dimension: int, codebooks: int, words: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([_matrix(batch.column(0), dimension) for batch in batches if batch.num_rows])
+        order = np.lexsort(x.T)  # the same codebooks in whatever order rows arrive
+        yield pa.record_batch([pa.array([fit(x[order], codebooks, words, beam).words.astype(np.float32).tobytes()], pa.binary())], names=["words"])
+
+    return run
+
+
 def _encode(model: Codebooks, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +145,7 @@ def _encode(model: Codebooks, beam: int) -> Callable[[Iterator[pa.RecordBatch]],
             codes = model.encode(x, beam)
             norm = (model.decode(codes).astype(np.float64) ** 2).sum(1)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.record_batch([batch.column("ids"), batch.column("vector"), packed, pa.array(norm)], names=["ids", "vector", "codes", "norm"])
+            yield pa.record_batch([batch.column("key"), packed, pa.array(norm.astype(np.float32))], names=["key", "codes", "norm"])
 
     return run
 
@@ -143,49 +157,63 @@ def exact(measure: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.cumsum(terms, axis=-1)[..., -1]
 
 
-def _search(model: Codebooks, measure: str, wanted: int, shortlist: int) -> Callable[[pa.Table], pa.Table]:
-    """The nearest in a block of candidates for each query of a block."""
+def _scan(model: Codebooks, measure: str, shortlist: int) -> Callable[[pa.Table], pa.Table]:
+    """The approximately nearest in a block of candidates' codes for each query of a block."""
     dimension = model.words.shape[2]
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t["codes"].is_null().to_numpy()
         asked, held = t.filter(pa.array(is_query)), t.filter(pa.array(~is_query))
-        names, scores = [], []
+        keys, found, scores = asked["key"].to_numpy(), [], []
         if len(held) and len(asked):
-            v = _matrix(held["vector"].combine_chunks(), dimension)
-            codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8 if model.words.shape[1] <= 256 else np.uint16).reshape(len(v), -1)
-            ids, norm = held["ids"].to_pylist(), held["norm"].to_numpy().astype(np.float32)
+            codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8 if model.words.shape[1] <= 256 else np.uint16).reshape(len(held), -1)
+            names, norm = held["key"].to_numpy(), held["norm"].to_numpy()
             q = _matrix(asked["vector"].combine_chunks(), dimension)
-            keep = min(shortlist, len(v))
+            keep = min(shortlist, len(held))
             for lo in range(0, len(q), 64):
-                part = q[lo : lo + 64]
-                tables = model.tables(part.astype(np.float32))
+                tables = model.tables(q[lo : lo + 64].astype(np.float32))
                 near = tables[0][codes[:, 0]]
                 for m in range(1, len(tables)):
                     near += tables[m][codes[:, m]]
                 if measure == DISTANCE:
                     near = 2 * near - norm[:, None]
-                best = np.argpartition(near, len(v) - keep, axis=0)[len(v) - keep :].T
-                for row, mine, score in zip(best, part, exact(measure, part[:, None, :], v[best])):
-                    order = np.lexsort(([ids[i][0] for i in row], -score))
-                    found = [(i, s) for k in order[:wanted] for s in (float(score[k]),) for i in ids[row[k]]]
-                    found.sort(key=lambda x: (-x[1], x[0]))
-                    names.append([i for i, _ in found[:wanted]])
-                    scores.append([s for _, s in found[:wanted]])
+                best = np.argpartition(near, len(held) - keep, axis=0)[len(held) - keep :]
+                found += list(names[best].T)
+                scores += list(np.take_along_axis(near, best, axis=0).T)
+        return pa.table({"key": keys[: len(found)], "found": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float32()))})
+
+    return run
+
+
+def _rerank(dimension: int, measure: str, wanted: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``wanted`` nearest ids of each query of a group, from its shortlist and the vectors on it."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names, found, scores = held["key"].to_numpy(), [], []
+        order = np.argsort(names)
+        if len(held):
+            v, ids = _matrix(held["vector"].combine_chunks(), dimension), held["ids"].to_pylist()
+            q = _matrix(asked["vector"].combine_chunks(), dimension)
+            for mine, listed in zip(q, asked["listed"].to_pylist()):
+                row = order[np.searchsorted(names, listed, sorter=order)]
+                score = exact(measure, mine[None, :], v[row])
+                best = np.lexsort(([ids[i][0] for i in row], -score))[:wanted]
+                every = [(i, s) for k in best for s in (float(score[k]),) for i in ids[row[k]]]
+                every.sort(key=lambda x: (-x[1], x[0]))
+                found.append([i for i, _ in every[:wanted]])
+                scores.append([s for _, s in every[:wanted]])
         return pa.table(
-            {
-                "vector": asked["vector"] if names else asked["vector"].slice(0, 0),
-                "found": pa.array(names, pa.list_(pa.int64())),
-                "scores": pa.array(scores, pa.list_(pa.float64())),
-            }
+            {"vector": asked["vector"].slice(0, len(found)), "found": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))}
         )
 
     return run
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(id, vector) of the rows that take part, before the test of the length."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("vector"))
+    """(id, vector) of the rows that take part, before the test of the length; floats stay floats, all else is double."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vector"))
+    if rows.schema["vector"].dataType != ArrayType(FloatType()):
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(sound)
 
@@ -220,27 +248,40 @@ def nearest(
     # An answer holds at most wanted ids of one vector, besides the query's own.
     order = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     some = rows.distinct().withColumn("k", order).where(F.col("k") <= wanted + 1)
-    distinct = materialise(some.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
+    distinct = materialise(
+        some.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.monotonically_increasing_id()), "vectors"
+    )
+    kind = distinct.schema["vector"].dataType.simpleString()
     n = distinct.count()
     draw = F.pmod(F.xxhash64("vector", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = distinct.where(draw < sample / n).select("vector").toArrow()["vector"].combine_chunks()
-    if not len(drawn):  # of few vectors a draw may leave none
-        drawn = distinct.select("vector").limit(sample).toArrow()["vector"].combine_chunks()
-    model = fit(_matrix(drawn, common.d), codebooks, words, beam)
-    coded = distinct.mapInArrow(_encode(model, beam), "ids array<long>, vector array<float>, codes binary, norm double")
-
-    asked = rows.where(queries).select(F.col("id").alias("query_id"), "vector")
-    different = materialise(asked.select("vector").distinct(), "queries")
-    n_candidates, n_queries = max(LEAST_CANDIDATES, -(-n // block_candidates)), max(LEAST_QUERIES, -(-different.count() // block_queries))
-    deal = lambda n: F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(n)).cast("int")
+    drawn = distinct.where(draw < sample / n).select("vector")
+    if not drawn.limit(1).count():  # of few vectors a draw may leave none
+        drawn = distinct.select("vector").limit(sample)
+    fitted = drawn.repartition(1).mapInArrow(_fit(common.d, codebooks, words, beam), "words binary").first().words
+    model = Codebooks(np.frombuffer(fitted, np.float32).reshape(codebooks, words, common.d))
+    coded = materialise(distinct.select("key", "vector").mapInArrow(_encode(model, beam), "key long, codes binary, norm float"), "codes")
+
+    asked = rows.where(queries).groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    different = materialise(distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("key", "vector"), "queries")
+    n_different = different.count()
+    n_candidates, n_queries = max(LEAST_CANDIDATES, -(-n // block_candidates)), max(LEAST_QUERIES, -(-n_different // block_queries))
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = coded.withColumn("c", deal(n_candidates)).withColumn("q", all_of(n_queries))
     posed = different.withColumn("q", deal(n_queries)).withColumn("c", all_of(n_candidates))
     block = held.unionByName(posed, allowMissingColumns=True)
-    near = block.groupBy("q", "c").applyInArrow(_search(model, measure, wanted + 1, shortlist), "vector array<float>, found array<long>, scores array<double>")
-    best = near.groupBy("vector").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "found"), lambda x: F.struct((-x["scores"]).alias("far"), x["found"].alias("id"))))).alias("near"))
+    near = block.groupBy("q", "c").applyInArrow(_scan(model, measure, shortlist), "key long, found array<long>, scores array<float>")
+    ranked = F.transform(F.arrays_zip("scores", "found"), lambda x: F.struct((-x["scores"]).alias("far"), x["found"].alias("key")))
+    lists = near.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ranked))), 1, shortlist)["key"].alias("listed"))
+    groups = max(2 * LEAST_QUERIES, -(-n_different // TOGETHER))
+    listed = materialise(different.join(lists, "key").withColumn("r", deal(groups)), "shortlists")
+    fetched = listed.select(F.col("r").alias("g"), F.explode("listed").alias("key")).distinct().join(distinct, "key")
+    exactly = listed.groupBy("r").cogroup(fetched.groupBy("g")).applyInArrow(
+        _rerank(common.d, measure, wanted + 1), f"vector {kind}, found array<long>, scores array<double>"
+    )
+    best = exactly.select("vector", F.transform(F.arrays_zip("scores", "found"), lambda x: F.struct((-x["scores"]).alias("far"), x["found"].alias("id"))).alias("near"))
     # a hot vector's queries spread over tasks, as their join splits
-    answers = asked.distinct().join(best, "vector").select(
+    answers = asked.join(best, "vector").select(
         "query_id", F.posexplode(F.slice(F.array_sort(F.filter("near", lambda x: x["id"] != F.col("query_id"))), 1, wanted)).alias("k", "x")
     )
     return answers.select("query_id", (F.col("k") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))

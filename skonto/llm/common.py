@@ -18,15 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session without the setting, as in tests on one machine, gets a folder of its own.
+    Only a local session without the setting, as in tests, gets a folder of its own; a cluster without it is an error.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         found = getattr(spark, "_skonto_shared", None) or f"file://{tempfile.mkdtemp(prefix='skonto-')}"
         spark._skonto_shared = found
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark itself would use for it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(name).toString()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
