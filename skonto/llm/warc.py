@@ -3,13 +3,17 @@
 A bundle is a file of independent Zstandard frames of about a megabyte of whole records, closed by the seek table of the
 public seekable format: a skippable frame with the compressed and the plain size of every frame. Any Zstandard reader can
 read a bundle from the front; with the table a reader can open one frame alone. Bundles are written by the tasks that
-hold the pages; the index that comes back names for every record its bundle, frame, and place in the frame.
+hold the pages; the index that comes back names for every record its bundle, frame, and place in the frame. They are
+written below ``_attempts`` and moved up once the index is complete, so what failed attempts left is no part of the archive.
+
+The folder is opened with Arrow's file systems: local, HDFS, S3 (also as ``s3a``) and Google Storage. Any other scheme is an
+error before anything is written; a folder without a scheme is that of Spark's default file system.
 
 Of records with equal payloads the one with the smallest id holds the payload, the others are revisits that refer to it.
 
 Defined cases: null html is an empty payload; a null url is an empty target; a page without an id is written with an empty
 id and is a revisit if a page with an id has its payload, else a response; pages that repeat the smallest id of a payload
-are all responses; columns other than the named ones are ignored, whatever they are called; no pages give no bundle.
+are all responses; a very long url is a header line of its length; columns other than the named ones are ignored, whatever they are called; no pages give no bundle.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skonto.llm.common import materialise, new_path
+from skonto.llm.common import materialise, new_path, qualified
 
 #: Plain bytes of a frame and of a bundle, about; a longer record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
 #: Plain bytes of the records that one task reads back.
 READ_BYTES = 64 << 20
 LEVEL = 6
+ATTEMPTS = "_attempts"
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the seekable format: magic of skippable frame 14, magic of its footer.
@@ -41,6 +46,16 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified folder, and the folder's path in it."""
+    scheme, _, rest = folder.partition("://")
+    known = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    try:
+        return fs.FileSystem.from_uri(f"{known}://{rest}" if rest else folder)
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"bundles can't be written to {folder}: no file system for it ({e})") from e
+
+
 def digest(payload: bytes) -> str:
     """The payload's SHA-1 in upper-case base32."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -98,7 +113,7 @@ def read_seek_table(file: pa.NativeFile, size: int) -> list[tuple[int, int, int]
 
 def _write(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         packer = zstandard.ZstdCompressor(level=level)
         file, name, frames, plain, waiting, total = None, "", [], bytearray(), [], 0
 
@@ -123,7 +138,7 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if file is None:  # a name of its own for every attempt: the index knows only those of attempts that ended well
                     name, frames, total = f"{uuid.uuid4().hex}.warc.zst", [], 0
-                    file = store.open_output_stream(f"{root}/{name}", compression=None)
+                    file = store.open_output_stream(f"{root}/{ATTEMPTS}/{name}", compression=None)
                 one = record(page_id, url, payload, refers_to)
                 if plain and len(plain) + len(one) > frame_bytes:
                     out += flush()
@@ -148,15 +163,32 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def _publish(folder: str):
+    """Moves the bundles that the index names out of the attempts; one that was moved before stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    store.move(f"{root}/{ATTEMPTS}/{name}", f"{root}/{name}")
+                except OSError:
+                    if store.get_file_info(f"{root}/{name}").type != fs.FileType.File:
+                        raise
+            yield batch
+
+    return run
+
+
 def write_bundles(
     pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html",
     frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL,
 ) -> tuple[str, DataFrame]:
     """Write a record for every page into bundles below ``folder``; that folder and the index of the records."""
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
+    folder = qualified(spark, folder or new_path(spark, "warc"))
+    store, root = opened(folder)
+    store.create_dir(f"{root}/{ATTEMPTS}", recursive=True)
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.col(url).cast("string").alias("url"),
@@ -167,12 +199,15 @@ def write_bundles(
     told = rows.withColumn("sha1", F.sha1("payload")).join(copies, "sha1", "left")
     refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     index = told.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(_write(folder, frame_bytes, bundle_bytes, level), INDEX)
-    return folder, materialise(index, "warc-index")
+    index = materialise(index, "warc-index")
+    index.select("bundle").distinct().mapInArrow(_publish(folder), "bundle string").write.format("noop").mode("overwrite").save()
+    store.delete_dir(f"{root}/{ATTEMPTS}")
+    return folder, index
 
 
 def _frames(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_file(f"{root}/{name}") as file:
@@ -199,7 +234,7 @@ def parsed(head: dict[str, str], block: bytes) -> tuple[int | None, int, str, st
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         plain = zstandard.ZstdDecompressor()
         for batch in batches:
             for name, at, packed, size in zip(*(c.to_pylist() for c in batch.columns)):
@@ -226,7 +261,7 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
 
 def fetch(folder: str, index: DataFrame, page_id: int) -> list[tuple[dict[str, str], bytes]]:
     """The records of one page, each by one seek: header and block."""
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = opened(folder)
     out = []
     for r in index.where(F.col("page_id") == page_id).collect():
         with store.open_input_file(f"{root}/{r.bundle}") as file:

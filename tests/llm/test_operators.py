@@ -231,6 +231,20 @@ def test_additive_search(spark):
     assert sorted(r.vec_id for r in exact.collect()) == sorted(r.vec_id for r in few.collect())
 
 
+def test_additive_search_with_short_lists(spark):
+    """The shortlist is 4 % of the vectors, which are doubles that no float holds."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 24)) * 1e6 + rng.normal(size=(3000, 24)) / 3
+    df = spark.createDataFrame([(k, x.tolist(), None) for k, x in enumerate(v)], "vec_id long, embedding array<double>, key string")
+    ask = F.expr("id % 20 = 0")
+    got = additive_search.nearest(df, ask, shortlist=120, block_candidates=1000, block_queries=50, sample=1500)
+    true = {(r.query_id, r.vec_id): r.score for r in additive_search.brute_force(df, ask).collect()}
+    mine = {(r.query_id, r.vec_id): r.score for r in got.collect()}
+    assert len(mine) == len(true) == 150 * 20
+    assert len(set(mine) & set(true)) / len(true) >= 0.9
+    assert all(mine[k] == true[k] for k in set(mine) & set(true))
+
+
 def test_additive_search_by_distance(spark):
     v = np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
@@ -255,6 +269,9 @@ def test_warc(spark, tmp_path):
     for name in (tmp_path / "w").iterdir():
         plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(name.read_bytes()), read_across_frames=True).read()
         assert plain.startswith(b"WARC/1.1\r\n")
+    assert {x.name for x in (tmp_path / "w").iterdir()} == {r.bundle for r in index.select("bundle").collect()}
+    with pytest.raises(ValueError, match="no file system"):
+        warc.opened("dbfs://host/x")
     folder, index = warc.write_bundles(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read_bundles(spark, folder, index).count() == 0
 
