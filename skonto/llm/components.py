@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skonto.llm.common import materialise
 
@@ -11,11 +12,14 @@ from skonto.llm.common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of ``links``; the label is the smallest node of its component.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so chains halve;
-    rounds are written to the shared folder, and only counts reach the driver. Links may repeat and may be
-    loops; null ends are ignored; no links give no nodes.
+    First each node's links to smaller nodes are bent to the smallest of them: nodes that share their neighbours, as the
+    members of many buckets do, keep one link each. Then each round takes the smallest label among the neighbours and then
+    the label's own label, so chains halve; rounds are written to the shared folder, and only counts reach the driver. Links
+    may repeat and may be loops; null ends are ignored; no links give no nodes.
     """
-    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    bent = ends.withColumn("hub", F.min("b").over(Window.partitionBy("a")))
+    ends = bent.select(F.inline(F.array(F.struct(F.col("a"), F.col("hub").alias("b")), F.struct(F.col("b").alias("a"), F.col("hub").alias("b"))))).distinct()
     both = materialise(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
