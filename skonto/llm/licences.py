@@ -1,192 +1,155 @@
-"""Licence scan: passages of documents compared with licence templates by the Dice coefficient of their word bigrams.
+"""Licence scan: runs of words of documents compared with licence templates by the Dice coefficient of their word bigrams.
 
-A passage is the whole text, one of its paragraphs (between blank lines) or one of its lines. Passage and template are
-normalised alike: A-Z lower-cased, everything but letters and digits a blank. Two sets of n and m bigrams can only reach
-a Dice coefficient d if m lies between ``n d / (2 - d)`` and ``n (2 - d) / d``: a template is posted under each of these
-sizes, and a passage meets only the templates posted under its own. Before that, passages go that have too few bigrams of
-any template. Both are necessary conditions, so nothing is lost.
+Text and template are normalised alike: A-Z lower-cased, everything but letters and digits a blank. A template of w words
+is compared with every run of w words of a text, wherever it stands; a text of fewer words is one run. Bigrams count as
+often as they occur, so a run of n bigrams and a template of m have the coefficient ``2 shared / (n + m)``, where ``shared``
+adds for each bigram the smaller of its two counts.
 
-All of it is DataFrame functions. Templates are literals, in blocks of a bounded number of bigrams; each block is a pass.
+* Size bounds prune templates: a text of n bigrams can reach a coefficient d only for templates with ``m <= n (2 - d) / d``.
+* A run that reaches d shares at least ``m d / (2 - d)`` of the template's bigrams, so of any choice of that many less one
+  from its m bigrams it lacks at least one at most. The longest bigrams beyond those are the template's anchors: a text
+  without any anchor of a template is not similar to it anywhere. Most texts end there, at one look for anchors.
+* In what is left, the k-th occurrence of a bigram that a template holds c times counts for the runs that begin after its
+  (k-c)-th occurrence and hold it: an interval of beginnings. The sum of these intervals, from left to right, is ``shared``
+  of every run, so the scan is linear in the words of a text, not in the runs times the words of a template.
+
+All of it is DataFrame functions. Templates are one literal, expanded by Spark; they are broadcast, so they are bounded
+(``MOST_BIGRAMS``), and more of them are an error.
 
 Defined cases: a null or empty text, and one without two words, has no bigrams and no licence; equal coefficients go to the
-template with more bigrams, then to the smaller licence id; rows without an id and rows that repeat keep a row each; columns other
-than the named ones are ignored, whatever they are called; no templates find nothing.
+template with more bigrams, then to the smaller licence id; rows without an id and rows that repeat keep a row each; very
+long texts are scanned whole; columns other than the named ones are ignored, whatever they are called; no templates find
+nothing.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Sequence
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skonto.llm.common import materialise
+from skonto.llm.licence_texts import TEMPLATES
 
 SIMILARITY = 0.8
-#: Templates are looked up in blocks of so many bigrams at most (a longer template is a block of its own).
-BLOCK_BIGRAMS = 20_000
+#: Most bigrams of all templates together; they go to every task.
+MOST_BIGRAMS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ROW = "_licence_row"
+
 
-# Names of public licences and the usual sentences that grant them.
-NAMES = (
-    ("Apache-2.0", "Apache License, Version 2.0"),
-    ("MIT", "MIT License"),
-    ("BSD-2-Clause", "BSD 2-Clause License"),
-    ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("ISC", "ISC License"),
-    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
-    ("GPL-2.0", "GNU General Public License, version 2"),
-    ("GPL-3.0", "GNU General Public License, version 3"),
-    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
-    ("CC0-1.0", "CC0 1.0 Universal"),
-    ("CC-BY-4.0", "CC BY 4.0"),
-    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
-    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
-    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
-    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
-    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("Unlicense", "The Unlicense"),
-)
-SENTENCES = (
-    "Licensed under {}.",
-    "Licensed under the {}.",
-    "Released under the {}.",
-    "Distributed under the {}.",
-    "This work is licensed under {}.",
-    "This work is licensed under the {}.",
-    "This project is licensed under the {}.",
-)
-NOTICES = (
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    (
-        "Apache-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-        "permissions and limitations under the License.",
-    ),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
-        "so, subject to the following conditions:",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    (
-        "MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
-        "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    ),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-#: (licence id, template text): each name in each sentence, and the notices.
-TEMPLATES = tuple((licence, sentence.format(name)) for licence, name in NAMES for sentence in SENTENCES) + NOTICES
-
-
-def bigrams_of_template(text: str) -> list[str]:
-    """The different word bigrams of a template, normalised as passages are."""
+def bigrams_of_template(text: str) -> dict[str, int]:
+    """How often each word bigram of a template occurs, normalised as texts are."""
     words = re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    return dict(Counter(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def size_bounds(n: int, similarity: float) -> tuple[int, int]:
-    """The smallest and the largest set that can reach the similarity with a set of ``n``."""
+def least_shared(m: int, similarity: float) -> int:
+    """The fewest bigrams that a run of a size within the bounds shares with a template of ``m``."""
     d = Fraction(similarity).limit_denominator(10_000)
-    return -(-n * d // (2 - d)), n * (2 - d) // d
+    return max(1, -(-m * d // (2 - d)))
+
+
+def anchors(bigrams: dict[str, int], similarity: float) -> list[str]:
+    """Bigrams of which every similar run holds one: the longest, as long words are rare."""
+    m = sum(bigrams.values())
+    spare, out = m - least_shared(m, similarity) + 1, []
+    for b in sorted(bigrams, key=lambda b: (-len(b), b)):
+        if spare <= 0:
+            break
+        out.append(b)
+        spare -= bigrams[b]
+    return out
 
 
-def _blocks(templates: Sequence[tuple[str, str]], limit: int) -> Iterator[list[tuple[str, list[str]]]]:
-    block: list[tuple[str, list[str]]] = []
-    held = 0
-    for licence, text in sorted(set(templates)):
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]], similarity: float) -> DataFrame:
+    """(template, licence, m, bigram, times, anchor): every bigram of every template of two words or more."""
+    rows = []
+    for k, (licence, text) in enumerate(sorted(set(templates))):
         found = bigrams_of_template(text)
-        if not found:
-            continue
-        if block and held + len(found) > limit:
-            yield block
-            block, held = [], 0
-        block.append((licence, found))
-        held += len(found)
-    if block:
-        yield block
+        if found:
+            first = set(anchors(found, similarity))
+            rows.append({"t": k, "l": licence, "m": sum(found.values()), "b": [{"b": b, "c": n, "a": b in first} for b, n in sorted(found.items())]})
+    if sum(len(r["b"]) for r in rows) > MOST_BIGRAMS:
+        raise ValueError(f"the templates hold more than {MOST_BIGRAMS} bigrams")
+    schema = "array<struct<t:int,l:string,m:int,b:array<struct<b:string,c:int,a:boolean>>>>"
+    held = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+    return held.select("t", "l", "m", F.inline("b")).toDF("template", "licence", "m", "bigram", "times", "anchor")
+
 
+def words_of(text: Column) -> Column:
+    """The normalised words of a text."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
-def postings(spark: SparkSession, block: Sequence[tuple[str, list[str]]], similarity: float) -> DataFrame:
-    """(n, licence, wanted): each template's bigrams under every passage size that can reach the similarity."""
-    rows = [
-        F.struct(F.lit(licence).alias("licence"), F.array(*map(F.lit, found)).alias("wanted"), *(F.lit(x).alias(k) for k, x in zip(("lo", "hi"), size_bounds(len(found), similarity))))
-        for licence, found in block
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows))).select(F.explode(F.sequence("lo", "hi")).alias("n"), "licence", "wanted")
 
+def bigrams_of(words: str) -> Column:
+    """The bigrams of a column of words in their order."""
+    return F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
 
-def passages(text: Column) -> Column:
-    """The different passages of a text: itself, its paragraphs, its lines."""
-    return F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))
 
+def licence_hits(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(the columns of ``documents`` but the text, licence, m, dice, first_word): each similar template at its best run.
 
-def licence_hits(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text", similarity: float = SIMILARITY, block_bigrams: int = BLOCK_BIGRAMS) -> DataFrame:
-    """Every passage that is similar to a template: the columns of ``documents`` but the text, passage, licence, dice, size."""
+    ``first_word`` counts from 0; of equally similar runs it is the first.
+    """
     spark = documents.sparkSession
     d = Fraction(similarity).limit_denominator(10_000)
     names = [c for c in documents.columns if c != text]
-    blocks = list(_blocks(templates, block_bigrams)) or [[("", ["", ""])]]
-    lo = min(size_bounds(len(found), similarity)[0] for block in blocks for _, found in block)
-    hi = max(size_bounds(len(found), similarity)[1] for block in blocks for _, found in block)
-    # Each generator is a fence: what it has made is not computed again by the filters above it.
-    # n words have at least 2 n - 1 characters and at most n - 1 bigrams.
-    long_enough = F.filter(passages(F.col(text)), lambda p: F.length(p) >= 2 * lo + 1)
-    spoken = F.transform(long_enough, lambda p: F.struct(p.alias("passage"), F.regexp_extract_all(F.translate(p, UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("words")))
-    cut = documents.where(F.col(text).isNotNull()).select(*names, F.explode_outer(spoken).alias("p")).where(F.size("p.words") > lo)
-    joined = F.transform(F.slice("p.words", F.lit(1), F.size("p.words") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get("p.words", i + 1)))
-    paired = cut.select(*names, F.col("p.passage").alias("passage"), F.explode_outer(F.array(F.array_distinct(joined))).alias("bigrams"))
-    sized = paired.withColumn("n", F.size("bigrams")).where(F.col("n").between(lo, hi))
-    out = None
-    for block in blocks:
-        vocabulary = sorted({b for _, found in block for b in found})
-        # dice >= d and m >= n d / (2 - d) leave no less than n d / (2 - d) common bigrams
-        common = F.size(F.filter("bigrams", lambda b: b.isin(vocabulary)))
-        near = sized.where(common * (2 * d.denominator - d.numerator) >= F.col("n") * d.numerator)
-        both = near.join(F.broadcast(postings(spark, block, similarity)), "n")  # no larger than block_bigrams allows
-        shared, sizes = F.size(F.array_intersect("bigrams", "wanted")), F.col("n") + F.size("wanted")
-        found = (
-            both.withColumn("shared", shared)
-            .where(2 * d.denominator * F.col("shared") >= d.numerator * sizes)
-            .select(*names, "passage", "licence", (2 * F.col("shared") / sizes).alias("dice"), F.size("wanted").alias("size"))
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    table = template_table(spark, templates, similarity)
+    # A generator is a fence: what it has made is not computed again by the filters above it.
+    spoken = documents.where(F.col(text).isNotNull()).select(*names, F.explode(F.array(words_of(F.col(text)))).alias("words")).where(F.size("words") > 1)
+    first = sorted({b for _, body in templates for b in anchors(bigrams_of_template(body), similarity)})
+    likely = spoken.where(F.exists(bigrams_of("words"), lambda b: b.isin(first)))
+    likely = materialise(likely.withColumn(ROW, F.monotonically_increasing_id()), "licence-candidates")
+
+    occurring = likely.select(ROW, (F.size("words") - 1).alias("n"), F.posexplode(bigrams_of("words")).alias("at", "bigram"))
+    wide = F.col("n") * (2 * d.denominator - d.numerator) >= F.col("m") * d.numerator
+    hits = occurring.join(F.broadcast(table), "bigram").where(wide).select(ROW, "template", "licence", "m", "n", "bigram", "times", "at")
+    # from here on everything is grouped within a row, so one exchange serves all groupings
+    every = (
+        hits.repartition(ROW)
+        .groupBy(ROW, "template", "licence", "m", "n", "bigram", "times")
+        .agg(F.array_sort(F.collect_list("at")).alias("places"))
+        .withColumn("all", F.sum(F.size("places")).over(Window.partitionBy(ROW, "template", "licence", "m", "n")))
+        .where(F.col("all") * (2 * d.denominator - d.numerator) >= F.col("m") * d.numerator)
+        .withColumn("length", F.least("m", "n"))
+    )
+    last = F.col("n") - F.col("length")
+    spans = F.transform(
+        "places",
+        lambda p, j: F.struct(
+            F.greatest(p - F.col("length") + 1, F.when(j >= F.col("times"), F.get("places", j - F.col("times")) + 1).otherwise(0), F.lit(0)).alias("from"),
+            F.least(p, last).alias("to"),
+        ),
+    )
+    key = [ROW, "template", "licence", "m", "length"]
+    counted = every.select(*key, F.inline(F.filter(spans, lambda x: x["from"] <= x["to"])))
+    steps = counted.select(*key, F.inline(F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct((F.col("to") + 1).alias("at"), F.lit(-1).alias("step")))))
+    shared = steps.groupBy(*key, "at").agg(F.sum("step").alias("step")).withColumn("shared", F.sum("step").over(Window.partitionBy(*key).orderBy("at")))
+    best = shared.groupBy(*key).agg(F.max("shared").alias("shared"), F.min_by("at", F.struct(-F.col("shared"), "at")).alias("first_word"))
+    similar = best.where(2 * d.denominator * F.col("shared") >= d.numerator * (F.col("m") + F.col("length")))
+    named = similar.select(ROW, "licence", "m", (2 * F.col("shared") / (F.col("m") + F.col("length"))).alias("dice"), "first_word")
+    return likely.select(ROW, *names).join(named, ROW).drop(ROW)
 
 
-def licence_scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block_bigrams: int = BLOCK_BIGRAMS) -> DataFrame:
+def licence_scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row: doc_id, licence (of the best hit, else null), dice, licences (all, by comma) and their number."""
     body = F.col(text).cast("string")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(body), F.lit(0)).alias("digest"), body.alias("text"))
     hits = (
-        licence_hits(docs, templates, "text", similarity, block_bigrams)
+        licence_hits(docs, templates, "text", similarity)
         .groupBy("doc_id", "digest")
         .agg(
             # structs compare by their fields in order; the smallest is the best
-            F.min(F.struct((-F.col("dice")).alias("worse"), (-F.col("size")).alias("less"), "licence")).alias("best"),
+            F.min(F.struct((-F.col("dice")).alias("worse"), (-F.col("m")).alias("less"), "licence")).alias("best"),
             F.array_sort(F.collect_set("licence")).alias("all"),
         )
         .select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "best", "all")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skonto.llm.common import table
-from skonto.llm.licences import TEMPLATES, licence_scan
+from skonto.llm.licence_texts import TEMPLATES
+from skonto.llm.licences import licence_scan
 
 NAME = "op2_licence_scan"
 
@@ -24,21 +25,24 @@ _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = rf"""
 WITH t AS (
-  SELECT licence, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS wanted
-  FROM (SELECT DISTINCT licence, {_WORDS.format(_LOWER.format("body"))} AS w
+  SELECT t, licence, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS wanted
+  FROM (SELECT row_number() OVER () AS t, licence, {_WORDS.format(_LOWER.format("body"))} AS w
         FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in TEMPLATES)}) v(licence, body))),
-d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
-passage AS (
-  SELECT DISTINCT k, unnest(list_concat([text], string_split_regex(text, '\n[ \t\r]*\n'), string_split(text, chr(10)))) AS body
-  FROM d WHERE text IS NOT NULL),
-word AS (SELECT k, {_WORDS.format(_LOWER.format("body"))} AS w FROM passage),
-p AS (SELECT k, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS had FROM word WHERE len(w) BETWEEN 2 AND 400),
-pair AS (
-  SELECT k, licence, len(wanted) AS m, len(had) AS n, len(list_intersect(had, wanted)) AS shared
-  FROM p JOIN t ON 3 * len(had) >= 2 * len(wanted) AND 2 * len(had) <= 3 * len(wanted)),
-hit AS (SELECT k, licence, m, 2 * shared / (n + m) AS dice FROM pair WHERE 10 * shared >= 4 * (n + m)),
-best AS (SELECT k, licence, dice FROM hit QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, m DESC, licence) = 1),
-every AS (SELECT k, string_agg(licence, ',' ORDER BY licence) AS licences, count(*) AS n FROM (SELECT DISTINCT k, licence FROM hit) GROUP BY k)
+tb AS (SELECT t, licence, len(wanted) AS m, u.bigram, count(*) AS times FROM t, unnest(wanted) u(bigram) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT k, len(w) - 1 AS n, unnest(range(1, len(w))) AS i, w FROM d WHERE len(w) > 1),
+hit AS (
+  SELECT k, n, i - 1 AS at, t, licence, m, times, bigram, least(m, n) AS l
+  FROM (SELECT k, n, i, w[i] || ' ' || w[i + 1] AS bigram FROM b) JOIN tb USING (bigram)
+  QUALIFY 3 * count(*) OVER (PARTITION BY k, t) >= 2 * m AND 3 * n >= 2 * m),
+run AS (SELECT DISTINCT k, t, l, unnest(range(greatest(at - l + 1, 0), least(at, n - l) + 1)) AS s FROM hit),
+had AS (
+  SELECT k, t, s, bigram, licence, m, l, least(times, count(*)) AS shared
+  FROM run JOIN hit USING (k, t, l) WHERE at BETWEEN s AND s + l - 1 GROUP BY k, t, s, bigram, licence, m, l, times),
+found AS (SELECT k, licence, m, 2 * sum(shared) / (m + l) AS dice, sum(shared) AS shared, l FROM had GROUP BY k, t, s, licence, m, l),
+hits AS (SELECT k, licence, m, dice FROM found WHERE 10 * shared >= 4 * (m + l)),
+best AS (SELECT k, licence, dice FROM hits QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, m DESC, licence) = 1),
+every AS (SELECT k, string_agg(licence, ',' ORDER BY licence) AS licences, count(*) AS n FROM (SELECT DISTINCT k, licence FROM hits) GROUP BY k)
 SELECT doc_id, best.licence, best.dice, coalesce(licences, '') AS licences, CAST(coalesce(n, 0) AS BIGINT) AS n_licences
 FROM d LEFT JOIN best USING (k) LEFT JOIN every USING (k)
 """
