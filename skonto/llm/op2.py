@@ -32,13 +32,13 @@ tb AS (SELECT t, licence, len(wanted) AS m, u.bigram, count(*) AS times FROM t,
 d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 b AS (SELECT k, len(w) - 1 AS n, unnest(range(1, len(w))) AS i, w FROM d WHERE len(w) > 1),
 hit AS (
-  SELECT k, n, i - 1 AS at, t, licence, m, times, bigram, least(m, n) AS l
+  SELECT k, n, i - 1 AS pos, t, licence, m, times, bigram, least(m, n) AS l
   FROM (SELECT k, n, i, w[i] || ' ' || w[i + 1] AS bigram FROM b) JOIN tb USING (bigram)
   QUALIFY 3 * count(*) OVER (PARTITION BY k, t) >= 2 * m AND 3 * n >= 2 * m),
-run AS (SELECT DISTINCT k, t, l, unnest(range(greatest(at - l + 1, 0), least(at, n - l) + 1)) AS s FROM hit),
+run AS (SELECT DISTINCT k, t, l, unnest(range(greatest(pos - l + 1, 0), least(pos, n - l) + 1)) AS s FROM hit),
 had AS (
   SELECT k, t, s, bigram, licence, m, l, least(times, count(*)) AS shared
-  FROM run JOIN hit USING (k, t, l) WHERE at BETWEEN s AND s + l - 1 GROUP BY k, t, s, bigram, licence, m, l, times),
+  FROM run JOIN hit USING (k, t, l) WHERE pos BETWEEN s AND s + l - 1 GROUP BY k, t, s, bigram, licence, m, l, times),
 found AS (SELECT k, licence, m, 2 * sum(shared) / (m + l) AS dice, sum(shared) AS shared, l FROM had GROUP BY k, t, s, licence, m, l),
 hits AS (SELECT k, licence, m, dice FROM found WHERE 10 * shared >= 4 * (m + l)),
 best AS (SELECT k, licence, dice FROM hits QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, m DESC, licence) = 1),
