@@ -151,9 +151,18 @@ def running_balance(entries: DataFrame, keys: Sequence[str], order: Sequence[str
 def statement(entries: DataFrame, start: date, end: date, order: Sequence[str], only: DataFrame | None = None) -> DataFrame:
     """The accounts of suppliers in a period: balances run over everything before, only entries of the period are shown.
 
+    What lies before the period is one sum a supplier, so only the period is sorted; within it balances run month by
+    month, each from what the months before leave, so a large account is as many groups as there are months.
     ``only`` (invoice_id) restricts what is shown, after the balance was run.
     """
-    rows = running_balance(as_of(entries, end), ["supplier_id"], order).where(F.col("entry_date") >= F.lit(start))
+    known = as_of(entries, end)
+    inside = F.col("entry_date") >= F.lit(start)
+    month = F.when(inside, F.trunc("entry_date", "MM"))
+    by_month = known.groupBy("supplier_id", month.alias("month")).agg(F.sum("amount_cents").alias("cents"))
+    earlier = Window.partitionBy("supplier_id").orderBy(F.asc_nulls_first("month")).rowsBetween(Window.unboundedPreceding, -1)
+    opening = by_month.withColumn("opening", F.coalesce(F.sum("cents").over(earlier), F.lit(0))).where("month is not null").drop("cents")
+    ran = running_balance(known.where(inside).withColumn("month", month), ["supplier_id", "month"], order)
+    rows = ran.join(opening, ["supplier_id", "month"]).withColumn("running_cents", F.col("running_cents") + F.col("opening")).drop("opening", "month")
     return rows if only is None else rows.join(only.select("invoice_id"), "invoice_id", "left_semi")
 
 
@@ -222,9 +231,9 @@ def forecast(items: DataFrame, day: date) -> DataFrame:
 
 
 def top_suppliers(items: DataFrame, k: int = 10) -> DataFrame:
-    """The suppliers with the largest open amounts; ties go to the smaller id."""
-    sums = items.groupBy("supplier_id").agg(F.sum("balance_cents").alias("open_cents"), F.count("*").alias("n_items"))
-    return sums.orderBy(F.desc("open_cents"), "supplier_id").limit(k)
+    """The suppliers with the largest open amounts; ties go to the one whose first open invoice is older."""
+    sums = items.groupBy("supplier_id").agg(F.sum("balance_cents").alias("open_cents"), F.count("*").alias("n_items"), F.min(F.struct("invoice_date", "invoice_id")).alias("seen"))
+    return sums.orderBy(F.desc("open_cents"), "seen").limit(k).drop("seen")
 
 
 def scope_rollup(items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,16 @@ from skonto.functions.money import parse_amount
 from skonto.functions.text import fold, normalize_name, normalize_reference
 
 
-def inverted_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, doc_id, tf, doc_tokens): counted in each document's own row, so nothing is shuffled to build it."""
+def inverted_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", query: str | None = None) -> DataFrame:
+    """(token, doc_id, tf, doc_tokens), to be kept as a table; with ``query`` only of tokens that one of its words begins.
+
+    One exchange, by document and token; a query's words filter each text before anything is moved.
+    """
     tokens = F.filter(F.split(fold(F.col(text)), " "), lambda t: t != "")
-    sized = documents.select(F.col(doc_id).alias("doc_id"), F.size(tokens).alias("doc_tokens"), F.explode(tokens).alias("token"))
+    words = query_words(query or "")
+    asked = F.filter("all", lambda t: reduce(lambda a, b: a | b, [t.startswith(w) for w in words])) if words else F.col("all")
+    fenced = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(tokens)).alias("all"))  # tokens are made once
+    sized = fenced.select("doc_id", F.size("all").alias("doc_tokens"), F.explode(asked).alias("token"))
     return sized.groupBy("doc_id", "doc_tokens", "token").agg(F.count("*").alias("tf"))
 
 

@@ -38,22 +38,30 @@ SELECT * FROM x""")
 def same_amount_nearby(t: LedgerTables) -> DataFrame:
     """For each line another of the same amount within five days: an interval join on equal amounts."""
     lines = t.bank_lines.select("tx_id", F.lit(0).alias("supplier_id"), "amount_cents", "booking_date")
-    others = lines.select(F.col("tx_id").alias("payment_id"), "supplier_id", F.abs("amount_cents").alias("payment_cents"), F.col("booking_date").alias("payment_date"))
-    pairs = lines.select("tx_id", "supplier_id", F.abs("amount_cents").alias("payment_cents"), "booking_date").join(others, ["supplier_id", "payment_cents"])
-    near = pairs.where((F.col("payment_id") != F.col("tx_id")) & (F.abs(F.datediff("payment_date", "booking_date")) <= 5))
-    return near.groupBy("tx_id").agg(F.min_by("payment_id", F.struct("payment_date", "payment_id")).alias("payment_id"))
+    paid = t.bank_lines.select(F.col("tx_id").alias("payment_id"), F.col("tx_id").alias("own_tx_id"), F.lit(0).alias("supplier_id"), F.abs("amount_cents").alias("payment_cents"), F.col("booking_date").alias("payment_date"))
+    return B.existing_payments(lines, paid)
 
 
 @query()
 def bank_matching(t: LedgerTables) -> DataFrame:
-    """Suppliers of payments that name an invoice in their purpose: rows only, similarity has no SQL."""
+    """Suppliers of payments with a misspelt name and an invoice in their purpose: rows only, similarity has no SQL."""
     items = L.open_items(t.invoices, t.entries_by_invoice, AS_OF)
     lines = items.select(
-        F.col("invoice_id").alias("tx_id"), "supplier_id", F.lit("").alias("counterparty_iban"), F.concat(F.lit("Supplier "), F.lpad(F.col("supplier_id").cast("string"), 9, "0")).alias("counterparty_name"),
+        F.col("invoice_id").alias("tx_id"), "supplier_id", F.lit("").alias("counterparty_iban"), F.concat(F.lit("Suplier "), F.lpad(F.col("supplier_id").cast("string"), 9, "0")).alias("counterparty_name"),
         F.concat(F.lit("Rechnung "), "invoice_number").alias("purpose"), F.lit("").alias("reference"), (-F.col("balance_cents")).alias("amount_cents"), F.lit(AS_OF).alias("booking_date"),
     )
-    mentions = B.number_mentions(lines, items).select("tx_id", "supplier_id", "weight", F.concat(F.lit("NUMBER:"), "invoice_id").alias("reason"))
-    return B.best_with_runner_up(B.noisy_or(mentions, "tx_id", "supplier_id"), "tx_id", "supplier_id").select("tx_id", "supplier_id", F.round("score", 6).alias("score"), "ambiguous")
+    ibans = t.parties.select("party_id", F.lit("").alias("iban"))
+    none = t.spark.createDataFrame([], "supplier_id long, iban string, payment_date date, payment_id long")
+    found = B.match_suppliers(lines, t.parties.where(F.col("represents_id").isNull()), ibans, none, items)
+    return found.select("tx_id", "supplier_id", F.round("score", 6).alias("score"), "ambiguous")
+
+
+@query(f"""{LEDGER} SELECT invoice_id AS tx_id, supplier_id, invoice_id, 0.85::DOUBLE AS weight FROM open_items""")
+def bank_mentions(t: LedgerTables) -> DataFrame:
+    """Invoices whose number stands in the purpose of a line that pays them, among all open ones."""
+    items = L.open_items(t.invoices, t.entries_by_invoice, AS_OF)
+    lines = items.select(F.col("invoice_id").alias("tx_id"), F.concat(F.lit("Zahlung "), "invoice_number", F.lit(" vom Konto")).alias("purpose"), F.lit("").alias("reference"), F.lit("").alias("counterparty_name"))
+    return B.number_mentions(lines, items)
 
 
 @query(f"""{LEDGER}, l AS (SELECT supplier_id, balance_cents, count(*) AS n, min(invoice_id) AS invoice_id FROM open_items GROUP BY 1, 2)

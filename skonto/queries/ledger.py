@@ -81,7 +81,7 @@ def supplier_overview(t: LedgerTables) -> DataFrame:
     return L.supplier_overview(_items(t), AS_OF)
 
 
-@query(f"{LEDGER} SELECT supplier_id, CAST(sum(balance_cents) AS BIGINT) AS open_cents, count(*) AS n_items FROM open_items GROUP BY supplier_id ORDER BY open_cents DESC, supplier_id LIMIT 10")
+@query(f"{LEDGER} SELECT supplier_id, CAST(sum(balance_cents) AS BIGINT) AS open_cents, count(*) AS n_items FROM open_items GROUP BY supplier_id ORDER BY open_cents DESC, min((invoice_date, invoice_id)) LIMIT 10")
 def top_suppliers(t: LedgerTables) -> DataFrame:
     return L.top_suppliers(_items(t))
 
@@ -161,15 +161,15 @@ def invoice_history(t: LedgerTables) -> DataFrame:
 p AS (SELECT CAST(coalesce(-sum(amount_cents) FILTER (category = 'PAYMENT'), 0) AS BIGINT) AS paid_period,
     CAST(coalesce(sum(amount_cents) FILTER (category IN ('DUNNING_FEE', 'LATE_INTEREST', 'LATE_PAYMENT_FLAT_FEE', 'COLLECTION_COST')), 0) AS BIGINT) AS charges
   FROM entries WHERE entry_date BETWEEN DATE '{START}' AND DATE '{AS_OF}'),
-u AS (SELECT CAST(greatest(0, -coalesce(sum(amount_cents), 0)) AS BIGINT) AS unassigned FROM entries WHERE invoice_id IS NULL AND entry_date <= DATE '{AS_OF}'),
+u AS (SELECT CAST(coalesce(-sum(s), 0) AS BIGINT) AS unassigned FROM (SELECT sum(amount_cents) AS s FROM entries WHERE invoice_id IS NULL AND entry_date <= DATE '{AS_OF}' GROUP BY supplier_id) WHERE s < 0),
 c AS (SELECT CAST(coalesce(-sum(balance_cents), 0) AS BIGINT) AS overpaid FROM balance JOIN invoices USING (invoice_id) WHERE balance_cents < 0 AND manual_status <> 'cancelled'),
 o AS (SELECT CAST(coalesce(sum(balance_cents), 0) AS BIGINT) AS total_open, CAST(coalesce(sum(balance_cents) FILTER (due_date < DATE '{AS_OF}'), 0) AS BIGINT) AS overdue,
     {", ".join(f"CAST(coalesce(sum(balance_cents) FILTER (due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + {n}), 0) AS BIGINT) AS due_{n}" for n in (7, 14, 30))},
     count(*) FILTER (max_level >= 5) AS escalated, count(*) AS n_open FROM open_items LEFT JOIN worst USING (invoice_id))
-SELECT total_open, overdue, due_7, due_14, due_30, paid_period, charges, overpaid, unassigned, escalated, n_open FROM o, p, u, c""")
+SELECT total_open, overdue, due_7, due_14, due_30, paid_period, charges, overpaid, unassigned, overpaid + unassigned AS credits, escalated, n_open FROM o, p, u, c""")
 def dashboard_figures(t: LedgerTables) -> DataFrame:
     """All key figures in one row."""
-    return dashboard.key_figures(t.invoices, t.entries, t.notices, AS_OF, START)
+    return dashboard.key_figures(t.invoices, t.entries_by_invoice, t.unassigned, t.notices, AS_OF, START)
 
 
 @query(f"""{LEDGER} SELECT s_name AS supplier, invoice_number, invoice_date, due_date, balance_cents, CAST(greatest(0, date_diff('day', due_date, DATE '{AS_OF}')) AS INTEGER) AS overdue_days, bucket

@@ -44,8 +44,7 @@ def _payments(t: LedgerTables) -> DataFrame:
 
 
 _ITEMS = """
-items AS (SELECT supplier_id, invoice_id, due_date, invoice_date, gross_cents - gross_cents % 100 AS p, gross_cents // 100 AS c, gross_cents // 200 AS i
-  FROM invoices WHERE invoice_date >= DATE '1999-01-01' AND invoice_date < DATE '1999-07-01'),
+items AS (SELECT supplier_id, invoice_id, due_date, invoice_date, gross_cents - gross_cents % 100 AS p, gross_cents // 100 AS c, gross_cents // 200 AS i FROM invoices),
 pay AS (SELECT supplier_id AS payment_id, supplier_id, CAST(sum(p) // 3 AS BIGINT) AS payment_cents FROM items GROUP BY supplier_id),
 parts AS (SELECT supplier_id, invoice_id, due_date, invoice_date, 'costs' AS component, 0 AS stage, c AS part FROM items WHERE c > 0
   UNION ALL SELECT supplier_id, invoice_id, due_date, invoice_date, 'interest', 1, i FROM items WHERE i > 0

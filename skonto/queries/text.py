@@ -75,7 +75,7 @@ h AS (SELECT doc_id, count(*) FILTER (starts_with(token, 'licen')) AS a, count(*
 SELECT doc_id, a + b AS n_hits FROM h WHERE a > 0 AND b > 0""")
 def fulltext_search(t: LedgerTables) -> DataFrame:
     """Documents with words that begin like those of a query."""
-    return S.fulltext(S.inverted_index(t.read("documents")), "Licen under").select("doc_id", "n_hits")
+    return S.fulltext(S.inverted_index(t.read("documents"), query="Licen under"), "Licen under").select("doc_id", "n_hits")
 
 
 @query(f"""WITH {INVOICES} SELECT 'supplier' AS kind, s_suppkey AS id, 'NAME' AS reason FROM supplier WHERE contains(lower(s_name), '000042')

@@ -50,11 +50,19 @@ DELIMITERS = (";", "\t", ",", "|")
 SEPA_TAGS = "EREF|KREF|MREF|CRED|DEBT|SVWZ|ABWA|ABWE|IBAN|BIC|ANAM|PURP|COAM|OAMT"
 
 
+# What Windows-1252 has where Latin-1 has control characters, in the order of the bytes, and the bytes that it lacks.
+CONTROLS = "".join(chr(k) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+IN_1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+NOT_IN_1252 = "\\x81\\x8D\\x8F\\x90\\x9D"
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of files below a folder, as text: UTF-8 if it is, else Latin-1."""
+    """(path, content) of files below a folder, as text: UTF-8 if it is, else Windows-1252, else (for bytes that it lacks) Latin-1."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
+    windows = F.when(~latin.rlike(f"[{NOT_IN_1252}]"), F.translate(latin, CONTROLS, IN_1252))
+    text = F.coalesce(utf8, windows, latin)
     return raw.select("path", F.regexp_replace(text, "^﻿", "").alias("content"))
 
 

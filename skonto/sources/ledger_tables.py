@@ -123,6 +123,19 @@ class LedgerTables:
         )
         return o.where("amount_cents <> 0").unionByName(self.line_entries.drop("order_id").where("invoice_id is not null"))
 
+    @property
+    def unassigned(self) -> DataFrame:
+        """Entries without an invoice: of these few alone the supplier comes with the order."""
+        loose = self.line_entries.where("invoice_id is null")
+        return loose.join(self.supplier_of_invoice, "order_id").drop("order_id")
+
+    @property
+    def cases(self) -> DataFrame:
+        """A case for every invoice with a notice of level 4 or more, opened at the first of these."""
+        worst = self.notices.where("level >= 4").groupBy("invoice_id").agg(F.min("notice_date").alias("opened_at"))
+        states = F.array(*map(F.lit, ("open", "waiting", "in_dispute", "closed")))
+        return worst.select(F.col("invoice_id").alias("case_id"), "invoice_id", "opened_at", F.element_at(states, (F.col("invoice_id") % 4 + 1).cast("int")).alias("status"))
+
     @property
     def notices(self) -> DataFrame:
         e = self.read("events").where("event_type = 'error'").crossJoin(F.broadcast(self.count("orders")))
