@@ -106,7 +106,7 @@ REFERENCES = {
     "mandate_number": r"mandats\s?-?\s?(?:nummer|nr\.?|referenz)|mandate\s+(?:no\.?|number|reference)",
     "debtor_number": r"debitoren\s?-?\s?(?:nummer|nr\.?|konto)|schuldner\s?-?\s?(?:nummer|nr\.?)|debtor\s+(?:no\.?|number)",
     "order_number": r"bestell\s?-?\s?(?:nummer|nr\.?)|bestellung\s*(?:nummer|nr\.?)?|auftrags\s?-?\s?(?:nummer|nr\.?)|auftrag\s*(?:nummer|nr\.?)|order\s+(?:no\.?|number)|purchase\s+order(?:\s+(?:no\.?|number))?|p\.?o\.?\s+(?:no\.?|number)",
-    "contract_number": r"vertrags\s?-?\s?(?:nummer|nr\.?|konto(?:\s?-?\s?nr\.?)?)|vertrag\s*(?:nummer|nr\.?)|vertragskonto|miet(?:vertrags)?\s?-?\s?(?:nummer|nr\.?)|mietvertrag\s*(?:nummer|nr\.?)?|polic(?:en|e)\s?-?\s?(?:nummer|nr\.?)|versicherungs\s?-?\s?(?:schein\s?-?\s?)?(?:nummer|nr\.?)|contract\s+(?:no\.?|number|id)|agreement\s+(?:no\.?|number)|schadens?\s?-?\s?(?:nummer|nr\.?)",
+    "contract_number": r"vertrags\s?-?\s?(?:nummer|nr\.?|konto(?:\s?-?\s?nr\.?)?)|vertrag\s*(?:nummer|nr\.?)|vertragskonto|miet(?:vertrags)?\s?-?\s?(?:nummer|nr\.?)|mietvertrag\s*(?:nummer|nr\.?)?|pacht\s?-?\s?vertrag\s*(?:nummer|nr\.?)?|polic(?:en|e)\s?-?\s?(?:nummer|nr\.?)|versicherungs\s?-?\s?(?:schein\s?-?\s?)?(?:nummer|nr\.?)|abo(?:nnement)?\s?-?\s?(?:nummer|nr\.?)|contract\s+(?:no\.?|number|id)|agreement\s+(?:no\.?|number)|schadens?\s?-?\s?(?:nummer|nr\.?)",
     "letter_number": r"schreibens?\s?-?\s?(?:nummer|nr\.?)|brief\s?-?\s?(?:nummer|nr\.?)|dokument(?:en)?\s?-?\s?(?:nummer|nr\.?)|unser\s+zeichen|unsere\s+referenz|our\s+(?:ref(?:erence)?|reference\s+no\.?)|letter\s+(?:no\.?|number)",
     "payment_reference": r"zahlungs\s?-?\s?referenz(?:nummer)?|payment\s+reference",
     "other": r"ihr\s+zeichen|ihre\s+referenz|your\s+(?:ref(?:erence)?|reference\s+no\.?)|referenz(?:nummer)?|reference",

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from skonto.sources.shared import written
 
-#: Words of fewer letters only agree if they are equal.
+#: Words of fewer letters, and words with digits, only agree if they are equal.
 LEAST_LETTERS = 5
 BEGINS, NEAR, JOINED, ONE_WORD = 0.8, 0.75, 0.88, 0.8
 
@@ -55,13 +55,14 @@ def _closeness(a: Column, b: Column) -> Column:
 def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, match) of the words of two (word) tables that agree at all."""
     a, b = left.select(F.col("word").alias("a")).distinct(), right.select(F.col("word").alias("b")).distinct()
+    a_plain, b_plain = (x.where(~F.col(c).rlike("[0-9]")) for x, c in ((a, "a"), (b, "b")))
     long = lambda c: F.length(c) >= LEAST_LETTERS
     beginnings = lambda df, c: df.where(F.length(c) > LEAST_LETTERS).select(c, F.explode(F.transform(F.sequence(F.lit(LEAST_LETTERS), F.length(c) - 1), lambda n: F.substr(F.col(c), F.lit(1), n))).alias("key"))
     less = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
     variants = lambda df, c: df.where(long(c)).select(c, F.explode(F.array_distinct(F.concat(F.array(c), less(c)))).alias("key"))
     equal = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("match"))
-    begins = beginnings(a, "a").join(b.where(long("b")), F.col("key") == F.col("b")).select("a", "b").unionByName(beginnings(b, "b").join(a.where(long("a")), F.col("key") == F.col("a")).select("a", "b"))
-    near = variants(a, "a").join(variants(b, "b"), "key").where("a <> b").select("a", "b").distinct().withColumn("match", _closeness(F.col("a"), F.col("b"))).where(F.col("match") >= NEAR)
+    begins = beginnings(a_plain, "a").join(b_plain.where(long("b")), F.col("key") == F.col("b")).select("a", "b").unionByName(beginnings(b_plain, "b").join(a_plain.where(long("a")), F.col("key") == F.col("a")).select("a", "b"))
+    near = variants(a_plain, "a").join(variants(b_plain, "b"), "key").where("a <> b").select("a", "b").distinct().withColumn("match", _closeness(F.col("a"), F.col("b"))).where(F.col("match") >= NEAR)
     return equal.unionByName(begins.withColumn("match", F.lit(BEGINS))).unionByName(near).groupBy("a", "b").agg(F.max("match").alias("match"))
 
 

@@ -9,6 +9,7 @@ from skonto.operators import bank as B
 from skonto.operators import ledger as L
 from skonto.queries.base import AS_OF, BANK, LEDGER
 from skonto.sources.ledger_tables import LedgerTables
+from skonto.sources.shared import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,7 +46,7 @@ def same_amount_nearby(t: LedgerTables) -> DataFrame:
 @query()
 def bank_matching(t: LedgerTables) -> DataFrame:
     """Suppliers of payments with a misspelt name and an invoice in their purpose: rows only, similarity has no SQL."""
-    items = L.open_items(t.invoices, t.entries_by_invoice, AS_OF)
+    items = written(L.open_items(t.invoices, t.entries_by_invoice, AS_OF), "open-items")  # every kind of evidence reads them
     lines = items.select(
         F.col("invoice_id").alias("tx_id"), "supplier_id", F.lit("").alias("counterparty_iban"), F.concat(F.lit("Suplier "), F.lpad(F.col("supplier_id").cast("string"), 9, "0")).alias("counterparty_name"),
         F.concat(F.lit("Rechnung "), "invoice_number").alias("purpose"), F.lit("").alias("reference"), (-F.col("balance_cents")).alias("amount_cents"), F.lit(AS_OF).alias("booking_date"),
