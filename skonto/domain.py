@@ -14,6 +14,10 @@ ALWAYS_NEGATIVE = (PAYMENT, CREDIT_NOTE, WRITE_OFF)
 ALWAYS_POSITIVE = (INVOICE, *CHARGES)
 
 OPEN, PARTIALLY_PAID, PAID, DISPUTED, CANCELLED = "open", "partially_paid", "paid", "disputed", "cancelled"
+CASE_OPEN, CASE_WAITING, CASE_IN_DISPUTE, CASE_PAID, CASE_CLOSED = "open", "waiting", "in_dispute", "paid", "closed"
+ACTIVE_CASES = (CASE_OPEN, CASE_WAITING, CASE_IN_DISPUTE)
+TX_NEW, TX_MATCHED, TX_BOOKED, TX_IGNORED = "new", "matched", "booked", "ignored"
+REVIEW_PENDING, REVIEW_NEEDED, REVIEW_ACCEPTED, REVIEW_REJECTED = "pending", "needs_review", "accepted", "rejected"
 COSTS, INTEREST, PRINCIPAL = "costs", "interest", "principal"
 STATUTORY, OLDEST_FIRST, MANUAL = "statutory", "oldest_first", "manual"
 BUCKETS = ("not_due", "1-30", "31-60", "61-90", "90+")

@@ -175,8 +175,13 @@ def party_errors(parties: DataFrame) -> DataFrame:
 
 
 def case_status(invoice_status: Column, case: Column) -> Column:
-    """A case follows its invoice: paid closes it, a dispute or cancellation is carried over, a new debt opens it again."""
-    return F.when(invoice_status == D.PAID, "resolved").when(invoice_status == D.CANCELLED, "closed").when(invoice_status == D.DISPUTED, "disputed").when(case.isin("resolved", "disputed"), "open").otherwise(case)
+    """A case follows its invoice: settled or cancelled ends an active one as paid, a dispute is carried over, a new debt opens it again."""
+    return (
+        F.when(invoice_status.isin(D.PAID, D.CANCELLED), F.when(case.isin(*D.ACTIVE_CASES), D.CASE_PAID).otherwise(case))
+        .when(invoice_status == D.DISPUTED, D.CASE_IN_DISPUTE)
+        .when(case.isin(D.CASE_PAID, D.CASE_IN_DISPUTE), D.CASE_OPEN)
+        .otherwise(case)
+    )
 
 
 def upsert(current: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:

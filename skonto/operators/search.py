@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skonto.functions.money import parse_amount
-from skonto.functions.text import fold, normalize_name, normalize_reference
+from skonto.functions.text import fold, normalize_iban, normalize_name, normalize_reference
 
 
 def inverted_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", query: str | None = None) -> DataFrame:
@@ -62,13 +62,69 @@ def snippet(documents: DataFrame, word: str, text: str = "text", before: int = 4
     return documents.withColumn("snippet", F.when(at > 0, F.substring(F.col(text), F.greatest(F.lit(1), at - before), F.lit(before + after))))
 
 
-def everything(query: str, parties: DataFrame, invoices: DataFrame, payments: DataFrame, per_kind: int = 50) -> DataFrame:
-    """(kind, id, reason) of suppliers, invoices and payments that a query names by name, number or amount."""
-    name, number, cents = normalize_name(F.lit(query)), normalize_reference(F.lit(query)), parse_amount(F.lit(query))
-    named = parties.where((F.length(name) > 0) & F.contains(normalize_name(F.col("name")), name)).select(F.lit("supplier").alias("kind"), F.col("party_id").alias("id"), F.lit("NAME").alias("reason"), F.lit(1).alias("ord"))
-    numbered = invoices.where((F.length(number) >= 3) & F.contains(normalize_reference(F.col("invoice_number")), number)).select(F.lit("invoice").alias("kind"), F.col("invoice_id").alias("id"), F.lit("NUMBER").alias("reason"), F.lit(2).alias("ord"))
-    priced = invoices.where(F.col("gross_cents") == cents).select(F.lit("invoice").alias("kind"), F.col("invoice_id").alias("id"), F.lit("AMOUNT").alias("reason"), F.lit(3).alias("ord"))
-    paid = payments.where(F.abs("amount_cents") == cents).select(F.lit("payment").alias("kind"), F.col("payment_id").alias("id"), F.lit("AMOUNT").alias("reason"), F.lit(4).alias("ord"))
-    found = named.unionByName(numbered).unionByName(priced).unionByName(paid).groupBy("kind", "id").agg(F.min_by("reason", "ord").alias("reason"), F.min("ord").alias("ord"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("ord", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= per_kind).drop("ord", "rank")
+def everything(
+    query: str, parties: DataFrame, invoices: DataFrame, payments: DataFrame | None = None, allocations: DataFrame | None = None, references: DataFrame | None = None,
+    cases: DataFrame | None = None, index: DataFrame | None = None, aliases: DataFrame | None = None, ibans: DataFrame | None = None, per_kind: int | None = 50,
+) -> DataFrame:
+    """(kind, id, reason) of suppliers, invoices, cases and documents that a query names by name, number, reference, amount or words.
+
+    ``payments`` and ``allocations`` lead to the invoices that were paid, ``references`` (owner_kind, owner_id, value) to their owners, a
+    case to its invoice, a supplier to its invoices, an invoice to its case; ``index`` is that of ``inverted_index``. The
+    first reason counts, of suppliers in the order NAME, IBAN, VAT_ID, of invoices NUMBER, REFERENCE, AMOUNT, PAYMENT and then the
+    supplier's. A kind has ``per_kind`` hits, or all of them.
+    """
+    name, number, cents, iban = normalize_name(F.lit(query)), normalize_reference(F.lit(query)), parse_amount(F.lit(query)), normalize_iban(F.lit(query))
+    spark = parties.sparkSession
+    hit = lambda df, key, reason, ord_: df.select(F.col(key).cast("bigint").alias("id"), F.lit(reason).alias("reason"), F.lit(ord_).alias("ord"))
+    holds = lambda value, least: (F.length(number) > 0) & F.when(F.length(number) >= least, F.contains(normalize_reference(value), number)).otherwise(normalize_reference(value) == number)
+    is_name = (F.length(name) > 0) & F.contains(normalize_name(F.col("name")), name)
+    of_suppliers = [hit(parties.where(is_name), "party_id", "NAME", 1)]
+    if aliases is not None:
+        of_suppliers.append(hit(aliases.where((F.length(name) > 0) & F.contains(normalize_name(F.col("alias")), name)), "party_id", "NAME", 1))
+    if ibans is not None:
+        of_suppliers.append(hit(ibans.where((F.length(iban) >= 15) & (normalize_iban(F.col("iban")) == iban)), "party_id", "IBAN", 2))
+    if "vat_id" in parties.columns:
+        of_suppliers.append(hit(parties.where((F.length(F.lit(query)) >= 8) & (normalize_iban(F.col("vat_id")) == iban)), "party_id", "VAT_ID", 3))
+    suppliers = _first(of_suppliers)
+
+    of_invoices = [hit(invoices.where(holds(F.col("invoice_number"), 3)), "invoice_id", "NUMBER", 4), hit(invoices.where((cents > 0) & (F.col("gross_cents") == cents)), "invoice_id", "AMOUNT", 6)]
+    empty = spark.createDataFrame([], "id bigint, reason string, ord int")
+    of_cases, of_documents = [empty], [empty]
+    if references is not None:
+        named = references.where(holds(F.col("value"), 4))
+        owned = lambda kind: hit(named.where(F.col("owner_kind") == kind), "owner_id", "REFERENCE", 5)
+        of_invoices.append(owned("invoice"))
+        of_documents.append(owned("document"))
+        if cases is not None:
+            of_cases.append(owned("case"))
+            of_invoices.append(hit(cases.join(owned("case").select(F.col("id").alias("case_id")), "case_id", "left_semi"), "invoice_id", "REFERENCE", 5))
+    if payments is not None and allocations is not None:
+        of_invoices.append(hit(allocations.join(payments.where((cents > 0) & (F.col("amount_cents") == cents)).select("payment_id"), "payment_id", "left_semi"), "invoice_id", "PAYMENT", 7))
+    of_invoices.append(invoices.join(suppliers.select(F.col("id").alias("supplier_id"), "reason", (F.col("ord") + 10).alias("ord")), "supplier_id").select(F.col("invoice_id").alias("id"), "reason", "ord"))
+    found = _first(of_invoices)
+    if cases is not None:
+        of_cases.append(cases.join(found.select(F.col("id").alias("invoice_id"), "reason", (F.col("ord") + 10).alias("ord")), "invoice_id").select(F.col("case_id").alias("id"), "reason", "ord"))
+    if index is not None:
+        of_documents.append(hit(fulltext(index, query), "doc_id", "TEXT", 8))
+    kinds = (("supplier", suppliers), ("invoice", found), ("case", _first(of_cases)), ("document", _first(of_documents)))
+    hits = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds])
+    if per_kind is not None:  # a limit of the window, so that each task passes on so many of a kind at most
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("ord", "id"))).where(F.col("rank") <= per_kind)
+    return hits.select("kind", "id", "reason")
+
+
+def _first(hits: list[DataFrame]) -> DataFrame:
+    """(id, reason, ord) with the first reason of each id."""
+    return reduce(DataFrame.unionByName, hits).groupBy("id").agg(F.min_by("reason", "ord").alias("reason"), F.min("ord").alias("ord"))
+
+
+def search_in_scope(hits: DataFrame, invoices: DataFrame, cases: DataFrame, documents: DataFrame, company_id: int | None = None, hotel_id: int | None = None) -> DataFrame:
+    """Hits that belong to a hotel or company: its invoices, their cases and suppliers, its documents and those nobody has."""
+    inside = F.col("hotel_id") == hotel_id if hotel_id is not None else F.col("company_id") == company_id
+    its = invoices.where(inside)
+    of = lambda df, key, kind: df.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"))
+    own = (
+        of(its, "invoice_id", "invoice").unionByName(of(its, "supplier_id", "supplier")).unionByName(of(cases.join(its.select("invoice_id"), "invoice_id", "left_semi"), "case_id", "case"))
+        .unionByName(of(documents.where(inside | F.col("company_id").isNull()), "doc_id", "document"))
+    )
+    return hits.join(own, ["kind", "id"], "left_semi")

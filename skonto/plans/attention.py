@@ -12,7 +12,6 @@ from skonto.functions.dates import aging_bucket
 from skonto.operators.ledger import as_of, balances_by_invoice
 from skonto.operators.notices import levels
 
-ACTIVE_CASES = ("open", "waiting", "in_dispute")
 ESCALATED_LEVEL = 5
 
 
@@ -78,14 +77,14 @@ def case_list(cases: DataFrame, invoices: DataFrame, entries: DataFrame, notices
         .join(levels(notices), "invoice_id", "left")
         .select(
             "case_id", "invoice_id", "supplier_id", "status", "opened_at", F.coalesce("balance_cents", F.lit(0)).alias("balance_cents"), "max_level",
-            deadline.alias("deadline"), (F.col("status").isin(*ACTIVE_CASES) & (deadline < F.lit(day))).alias("overdue"), "company_id", "hotel_id",
+            deadline.alias("deadline"), (F.col("status").isin(*D.ACTIVE_CASES) & (deadline < F.lit(day))).alias("overdue"), "company_id", "hotel_id",
         )
     )
 
 
 def case_counts(listed: DataFrame) -> DataFrame:
     """One row: open_cases and escalated_cases."""
-    active = F.col("status").isin(*ACTIVE_CASES)
+    active = F.col("status").isin(*D.ACTIVE_CASES)
     return listed.agg(F.count(F.when(active, 1)).alias("open_cases"), F.count(F.when(active & (F.col("max_level") >= ESCALATED_LEVEL), 1)).alias("escalated_cases"))
 
 

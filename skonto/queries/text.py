@@ -11,7 +11,7 @@ from skonto.functions import dates, money
 from skonto.functions import text as X
 from skonto.operators import documents as DOC
 from skonto.operators import search as S
-from skonto.queries.base import INVOICES
+from skonto.queries.base import INVOICES, LEDGER, NOTICES
 from skonto.sources.ledger_tables import LedgerTables
 
 QUERIES, ORACLES = {}, {}
@@ -78,9 +78,43 @@ def fulltext_search(t: LedgerTables) -> DataFrame:
     return S.fulltext(S.inverted_index(t.read("documents"), query="Licen under"), "Licen under").select("doc_id", "n_hits")
 
 
-@query(f"""WITH {INVOICES} SELECT 'supplier' AS kind, s_suppkey AS id, 'NAME' AS reason FROM supplier WHERE contains(lower(s_name), '000042')
-UNION ALL (SELECT 'invoice', invoice_id, 'NUMBER' FROM invoices WHERE contains(regexp_replace(invoice_number, '[^0-9A-Z]', '', 'g'), '000042') ORDER BY invoice_id LIMIT 50)""")
+_NUMBER = "contains(regexp_replace(invoice_number, '[^0-9A-Z]', '', 'g'), '000042')"
+_SEARCH = f"""{LEDGER},{NOTICES},
+cases AS (SELECT DISTINCT invoice_id AS case_id, invoice_id FROM notices WHERE level >= 4),
+paid AS (SELECT invoice_id AS payment_id, gross_cents % 5000 AS amount_cents FROM invoices),
+named_cases AS (SELECT case_id, invoice_id FROM cases WHERE contains(printf('%08d', case_id * 10), '000042')),
+s AS (SELECT s_suppkey AS id, 'NAME' AS reason, 1 AS ord FROM supplier WHERE contains(lower(s_name), '000042')),
+i0 AS (SELECT invoice_id AS id, 'NUMBER' AS reason, 4 AS ord FROM invoices WHERE {_NUMBER}
+  UNION ALL SELECT invoice_id, 'REFERENCE', 5 FROM named_cases UNION ALL SELECT invoice_id, 'AMOUNT', 6 FROM invoices WHERE gross_cents = 4200
+  UNION ALL SELECT i.invoice_id, 'PAYMENT', 7 FROM paid JOIN invoices i ON i.invoice_id IN (payment_id, payment_id + 1) WHERE amount_cents = 4200
+  UNION ALL SELECT invoice_id, reason, ord + 10 FROM invoices JOIN s ON s.id = supplier_id),
+i AS (SELECT id, arg_min(reason, ord) AS reason, min(ord) AS ord FROM i0 GROUP BY id),
+c0 AS (SELECT case_id AS id, 'REFERENCE' AS reason, 5 AS ord FROM named_cases UNION ALL SELECT case_id, reason, ord + 10 FROM cases JOIN i ON i.id = invoice_id),
+c AS (SELECT id, arg_min(reason, ord) AS reason, min(ord) AS ord FROM c0 GROUP BY id),
+d AS (SELECT doc_id AS id, 'REFERENCE' AS reason, 5 AS ord FROM documents WHERE contains(printf('%08d', doc_id * 10), '000042')),
+hits AS (SELECT 'supplier' AS kind, * FROM s UNION ALL SELECT 'invoice', * FROM i UNION ALL SELECT 'case', * FROM c UNION ALL SELECT 'document', * FROM d)"""
+
+
+def _search(t: LedgerTables, per_kind: int | None) -> DataFrame:
+    """A number looked up everywhere; cases and documents have a reference made of their id, each invoice a payment that also pays the next."""
+    payments = t.invoices.select(F.col("invoice_id").alias("payment_id"), (F.col("gross_cents") % 5000).alias("amount_cents"))
+    pays = t.invoices.select(F.col("invoice_id").alias("payment_id"), F.explode(F.array("invoice_id", F.col("invoice_id") + 1)).alias("invoice_id")).join(t.invoices.select("invoice_id"), "invoice_id", "left_semi")
+    refers = lambda df, key, kind: df.select(F.lit(kind).alias("owner_kind"), F.col(key).alias("owner_id"), F.format_string("Az. %08d", (F.col(key) * 10).cast("long")).alias("value"))
+    references = refers(t.cases, "case_id", "case").unionByName(refers(t.read("documents"), "doc_id", "document"))
+    return S.everything("000042", t.parties, t.invoices, payments, pays, references, t.cases, per_kind=per_kind)
+
+
+@query(f"{_SEARCH} SELECT kind, id, reason FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ord, id) AS n FROM hits) WHERE n <= 50")
 def global_search(t: LedgerTables) -> DataFrame:
-    """Suppliers, invoices and payments that have a number."""
-    payments = t.invoices.select(F.col("invoice_id").alias("payment_id"), F.lit(0).cast("bigint").alias("amount_cents"))
-    return S.everything("000042", t.parties, t.invoices.where("gross_cents <> 4200"), payments)
+    """The fifty first hits of each kind."""
+    return _search(t, 50)
+
+
+@query(f"""{_SEARCH}, its AS (SELECT * FROM invoices WHERE company_id = 2)
+SELECT kind, id, reason FROM hits WHERE CASE kind WHEN 'invoice' THEN id IN (SELECT invoice_id FROM its) WHEN 'case' THEN id IN (SELECT invoice_id FROM its)
+  WHEN 'supplier' THEN id IN (SELECT supplier_id FROM its) ELSE id % 3 = 0 OR id % 5 = 2 END""")
+def search_of_company(t: LedgerTables) -> DataFrame:
+    """All hits that belong to a company; each third document is nobody's, the others belong to companies by turns."""
+    place = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5)
+    documents = t.read("documents").select("doc_id", place.alias("company_id"), F.lit(None).cast("bigint").alias("hotel_id"))
+    return S.search_in_scope(_search(t, None), t.invoices, t.cases, documents, company_id=2)
