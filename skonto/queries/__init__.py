@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skonto.queries import attention, bank, ledger, planning, text
+from skonto.queries import attention, bank, changes, ledger, planning, text
 
-MODULES = (ledger, attention, planning, bank, text)
+MODULES = (ledger, attention, planning, bank, text, changes)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
