@@ -15,6 +15,7 @@ from skonto.functions.dates import parse_any_date
 from skonto.functions.money import parse_amount, percent_of
 from skonto.functions.text import find_iban, normalize_reference
 from skonto.operators import document_rules as R
+from skonto.operators.layouts import complete_fields
 
 #: Patterns see lines and know letters beyond ASCII. On lower-cased texts they need not ignore case, which is much faster.
 LINES, FLAGS = "(?mU)", "(?imuU)"
@@ -153,9 +154,14 @@ def link_invoices(references: DataFrame, fields: DataFrame, invoices: DataFrame,
     return scored.select(doc_id, "invoice_id", F.round(F.least(F.lit(1.0), score), 3).alias("score")).where(F.col("score") >= keep).withColumn("rank", best).where(F.col("rank") <= most)
 
 
-def analyse(documents: DataFrame, today: date, text: str = "text") -> DataFrame:
-    """Kind, fields and issues of every document, and how sure all that is."""
-    out = issues(complete_amounts(extract_fields(classify(documents, text), text)), today)
+def analyse(documents: DataFrame, today: date, text: str = "text", doc_id: str | None = None) -> DataFrame:
+    """Kind, fields and issues of every document, and how sure all that is.
+
+    With a unique ``doc_id`` values below their labels count too, and amounts that add up.
+    """
+    fields = extract_fields(classify(documents, text), text)
+    fields = fields if doc_id is None else complete_fields(fields, documents, doc_id, text)
+    out = issues(complete_amounts(fields), today)
     wanted = F.when(F.col("kind").isin("invoice", "credit_note"), F.array(*[F.col(c).isNotNull() for c in ("gross_cents", "document_date", "invoice_number")])).otherwise(
         F.array(*[F.col(c).isNotNull() for c in ("total_claimed_cents", "document_date")])
     )
