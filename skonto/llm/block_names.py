@@ -109,13 +109,15 @@ def identities(rows: DataFrame, size: int = BLOCK_BYTES, hot: int = HOT) -> tupl
     return done, about
 
 
-def exact_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", deleted: str = DELETED, size: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def exact_groups(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", deleted: str = DELETED, size: int = BLOCK_BYTES, hot: int = HOT, number: str | None = None
+) -> DataFrame:
     """One row per document row: ``_row`` (its number), doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of rows with equal texts the one with the most code points, then the smallest id, is kept. ``documents`` may bring a
-    column ``_row`` of different longs; otherwise rows are numbered as they are read.
+    Of rows with equal texts the one with the most code points, then the smallest id, is kept. ``number`` may name a
+    column of different longs; otherwise rows are numbered as they are read.
     """
-    number = F.col(ROW) if ROW in documents.columns else F.monotonically_increasing_id()
+    number = F.col(number) if number else F.monotonically_increasing_id()
     body = F.col(text).cast("string")
     rows = documents.select(
         number.alias(ROW),
@@ -141,6 +143,5 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """The documents that stay, one of each group of equal texts, with all their columns."""
     name = next(x for x in (f"{ROW}{'_' * k}" for k in range(len(documents.columns) + 1)) if x not in documents.columns)
     numbered = materialise(documents.withColumn(name, F.monotonically_increasing_id()), "numbered-documents")
-    slim = numbered.select(F.col(name).alias(ROW), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kept = exact_groups(slim, deleted=deleted, size=size).where("kept").select(F.col(ROW).alias(name))
+    kept = exact_groups(numbered, doc_id, text, deleted, size, number=name).where("kept").select(F.col(ROW).alias(name))
     return numbered.join(kept, name, "left_semi").drop(name)

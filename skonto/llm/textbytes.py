@@ -107,6 +107,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(low, starts, ends, np.searchsorted(starts, offsets))
 
 
+def word_runs(column: pa.Array, size: int = CHUNK_BYTES, overlap: int = 0) -> Iterator[tuple[int, int, Words, int, int]]:
+    """Words of runs of texts: first row, row after the last, words, the run's part, and how many words the part before has had.
+
+    A run holds whole texts and is part 0. A text of more than twice ``size`` bytes is a series of parts, from 1 on, that are
+    cut between words, so memory doesn't grow with the text; each begins with the last ``overlap`` words of the one before.
+    """
+    for lo, hi, data, offsets in chunks(column, size):
+        if len(data) <= 2 * size:
+            yield lo, hi, words(data, offsets), 0, 0
+            continue
+        for r in range(lo, hi):  # one long text, beside empty ones only
+            text = data[offsets[r - lo] : offsets[r - lo + 1]]
+            begin = end = again = 0
+            part = 1
+            while True:
+                end = min(len(text), end + size)
+                while end < len(text) and WORD_BYTE[LOWER[text[end]]]:
+                    gaps = np.flatnonzero(~WORD_BYTE[LOWER[text[end : end + 4096]]])
+                    end = min(len(text), end + (int(gaps[0]) if len(gaps) else 4096))
+                w = words(text[begin:end], np.array([0, end - begin]))
+                yield r, r + 1, w, part, again
+                if end >= len(text):
+                    break
+                again = min(overlap, len(w.starts))
+                begin, part = begin + int(w.starts[-again]) if again else end, part + 1
+
+
+def distinct(w: Words) -> pa.DictionaryArray:
+    """The words of a run as indices into its different words, which are bytes."""
+    offsets = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
+    raw = np.ascontiguousarray(w.low[WORD_BYTE[w.low]])
+    return pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+
+
 def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash of each word, the same for equal words everywhere."""
     up, down = _tables()
