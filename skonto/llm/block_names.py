@@ -128,7 +128,8 @@ def exact_groups(
     done, about = identities(rows, size, hot)
     each = materialise(done.join(about, ROW), "document-names")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("q"), "doc_id", ROW)).alias("best")
-    groups = each.groupBy("level", "name").agg(F.count("*").alias("group_size"), best)
+    # written, so that the join below may split the rows of a large group
+    groups = materialise(each.groupBy("level", "name").agg(F.count("*").alias("group_size"), best), "groups")
     return each.join(groups, ["level", "name"]).select(
         ROW,
         "doc_id",
