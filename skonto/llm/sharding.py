@@ -2,12 +2,18 @@
 
 Rows are ordered by a hash of their text. A sample in which a row's chance grows with its size gives the quantiles at
 which the order is cut into many small ranges; their real sizes are then counted. In a range that is overfull the texts
-whose copies fill it are taken out and subdivided by a hash of the row. The resulting cells, in order, are
-laid over the shards by their exact sizes, and rows are numbered cell by cell, so no task gets a whole shard.
+whose copies fill it are taken out and subdivided by a hash of the row's number. The resulting cells stand in order; running
+sums within them give every text its place in all bytes, and the place gives the shard. Rows are numbered cell by cell, so
+no task gets a whole shard.
+
+Copies of a text stay in one shard, unless they hold more than a range's share of all bytes (1/1024 here): such a text is
+cut between rows where a shard ends, so it lies in as few shards as its bytes allow and at most one more. A shard's bytes are
+off an equal share by less than the copies of one text that is not cut at each end.
 
 Defined cases: a null text has no bytes and size 1, and is grouped with empty texts; rows without an id and rows that
-repeat get places of their own; columns other than the named ones are ignored, whatever they are called; no rows give
-no rows.
+repeat are rows of their own, whatever their text; texts whose 64-bit hashes agree to 53 bits count as copies of one text
+when cells are made, which changes no law; columns other than the named ones are ignored, whatever they are called; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ RANGES, SAMPLED = 128, 16
 def splitters(rows: DataFrame, total: int, ranges: int, sampled: int) -> list[float]:
     """Quantile boundaries of ``place`` from a sample of about ``ranges * sampled`` rows, drawn by size."""
     wanted = ranges * sampled
-    draw = F.pmod(F.xxhash64("place", "doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     weight = F.col("size") * (wanted / max(total, 1))
     sample = rows.where(draw < weight).select("place", F.greatest(F.lit(1.0), weight).alias("weight")).toArrow()
     drawn = sorted(zip(sample["place"].to_pylist(), sample["weight"].to_pylist()))
@@ -44,6 +50,7 @@ def shard(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = materialise(
         documents.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(doc_id).cast("long").alias("doc_id"),
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
@@ -65,21 +72,31 @@ def shard(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
         .where(F.col("n") > target)
         .select("place", F.ceil(F.col("n") / target).alias("parts"))
     )
-    part = F.coalesce(1 + F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")), F.lit(0))
+    # rows of a hot text are dealt by their number: ids may repeat or be null
+    part = F.coalesce(1 + F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")), F.lit(0))
     first = F.when(F.col("parts").isNotNull(), F.col("place")).otherwise(F.lit(float("-inf")))
     # hot texts fill a range each, so there are no more of them than ranges
     celled = ranged.join(F.broadcast(hot), "place", "left").withColumn("cell", F.struct(F.col("at"), first.alias("hot"), part.alias("part")))
 
     # A few thousand cells, however many rows: their order and sizes may come to the driver.
-    cells = sorted(((tuple(r.cell), r.n, r.k) for r in celled.groupBy("cell").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()))
-    filled, count, found = 0, [0] * shards, []
-    for cell, n, k in cells:
-        to = min(shards - 1, (2 * filled + n) * shards // (2 * total))
-        found.append((cell, to, count[to]))
-        filled, count[to] = filled + n, count[to] + k
-    spark = documents.sparkSession
-    plan = spark.createDataFrame(found, "cell struct<at:double,hot:double,part:long>, shard int, base long")
-    number = F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32"))
-    return celled.join(F.broadcast(plan), "cell").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + number - 1).alias("slot")
-    )
+    spark, filled, before = documents.sparkSession, 0, []
+    for cell, n in sorted((tuple(r.cell), r.n) for r in celled.groupBy("cell").agg(F.sum("size").alias("n")).collect()):
+        before.append((cell, filled))
+        filled += n
+    kind = "cell struct<at:double,hot:double,part:long>"
+    bases = F.broadcast(spark.createDataFrame(before, f"{kind}, before long"))
+    # copies of a text end together, rows of a hot text each at its own place
+    cut = F.when(F.col("parts").isNotNull(), F.col("row")).otherwise(F.lit(-1))
+    within = Window.partitionBy("cell")
+    upto = F.sum("size").over(within.orderBy("place", "cut"))
+    number = F.row_number().over(within.orderBy("place", "cut", "row"))
+    to = F.least(F.lit(shards - 1), F.expr(f"((before + upto - 1) * {shards}) div {max(total, 1)}")).cast("int")
+    placed = celled.withColumn("cut", cut).withColumn("number", number).withColumn("upto", upto).join(bases, "cell").withColumn("shard", to)
+    placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard", "cell", "number"), "placed")
+
+    count, found = [0] * shards, []
+    for cell, to, least, k in sorted((tuple(r.cell), r.shard, r.least, r.k) for r in placed.groupBy("cell", "shard").agg(F.min("number").alias("least"), F.count("*").alias("k")).collect()):
+        found.append((cell, to, count[to] - least))
+        count[to] += k
+    slots = F.broadcast(spark.createDataFrame(found, f"{kind}, shard int, base long"))
+    return placed.join(slots, ["cell", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("number")).alias("slot"))

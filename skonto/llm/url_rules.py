@@ -14,8 +14,11 @@ Mining stays small on URLs of many segments without losing a rule that pruning w
 * tokens that occur in the same labelled URLs are one: a combination with both is as sure as with either. The class takes
   part once, and a URL has it if it has any of its tokens.
 
-What is left of a URL brings at most ``MOST_TOGETHER`` classes to the mining of combinations, the surest (ties: the more
-frequent, then the smaller text); each class is mined alone all the same. That bounds the itemsets of a URL by 2 to this number.
+What is left of a URL brings at most ``MOST_TOGETHER`` classes to FP-growth, the surest (ties: the more frequent, then the
+smaller text), which bounds the itemsets of a URL by 2 to this number; each class is mined alone all the same. FP-growth
+only proposes combinations: each is counted again on the whole token sets of all labelled URLs, so a rule's support and
+confidence are those of all URLs, and URLs of up to ``MOST_TOGETHER`` mixed classes give up every combination. Of a URL with
+more, combinations are proposed if enough URLs have them among their surest.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens, and the default verdict unless
 a rule fits; rows without an id and rows that repeat keep a row each; a token may hold blanks or any other character;
@@ -37,8 +40,8 @@ from skonto.llm.common import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A combination is mined if it is in this share of the labelled URLs, and kept if this share of its URLs agree.
 SUPPORT, CONFIDENCE = 0.005, 0.6
-#: Most token classes that one labelled URL brings to the mining of combinations.
-MOST_TOGETHER = 10
+#: Most token classes of one labelled URL of which combinations are proposed.
+MOST_TOGETHER = 16
 #: Equal baskets are made in parts of so many, so that those of a hot URL are spread over tasks.
 SAME_BASKETS = 100_000
 ALLOW, BLOCK = "allow", "block"
@@ -92,6 +95,12 @@ def token_classes(sets: DataFrame, least: int) -> DataFrame:
     return each.join(leaders, ["n", "a", "b"]).select("token", "leader", "n", "blocked", sure.alias("sure"))
 
 
+def posting_of(combinations: DataFrame, groups: DataFrame) -> DataFrame:
+    """(antecedent, posting) of different combinations: the rarest of their classes, of which ``groups`` has ``n`` each."""
+    each = combinations.select("antecedent", F.explode("antecedent").alias("leader")).join(groups.select("leader", "n"), "leader")
+    return each.groupBy("antecedent").agg(F.min_by("leader", F.struct("n", "leader")).alias("posting"))
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most_together: int = MOST_TOGETHER) -> tuple[DataFrame, DataFrame]:
     """Rules and token classes from the columns ``tokens`` and ``verdict`` (of URLs).
 
@@ -110,10 +119,9 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
 
     mixed = F.broadcast(classes.where("sure < 1").select("token", "leader", F.struct((-F.col("sure")).alias("s"), (-F.col("n")).alias("m"), F.col("leader").alias("t")).alias("order")))
     kept = sets.select("tokens", "verdict", "n", F.explode("tokens").alias("token")).join(mixed, "token")
-    together = kept.groupBy("tokens", "verdict", "n").agg(F.array_sort(F.collect_set("order")).alias("all"))
-    basket = together.select(
-        F.concat(F.transform(F.slice("all", 1, most_together), lambda x: x["t"]), F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"), "n"
-    ).where(F.size("items") > 2)
+    ordered = kept.groupBy("tokens", "verdict", "n").agg(F.array_sort(F.collect_set("order")).alias("all"))
+    together = materialise(ordered.select(F.transform("all", lambda x: x["t"]).alias("leaders"), "verdict", "n"), "url-mixed-classes")
+    basket = together.select(F.concat(F.slice("leaders", 1, most_together), F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"), "n").where(F.size("items") > 2)
     # FP-growth counts baskets, so a basket comes as often as its URLs do; its least support is of all labelled URLs
     parts = basket.select("items", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SAME_BASKETS))).alias("part")).repartition("items", "part")
     size = F.least(F.lit(SAME_BASKETS), F.col("n") - F.col("part") * SAME_BASKETS)
@@ -123,13 +131,15 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
         raw = alone.limit(0)
     else:
         model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / held, minConfidence=0.0).fit(baskets)
-        frequent = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-        split = frequent.select(
-            F.filter("items", lambda x: x.startswith(VERDICT)).alias("said"), F.filter("items", lambda x: ~x.startswith(VERDICT)).alias("antecedent"), "freq"
+        proposed = model.freqItemsets.where(F.exists("items", lambda x: x.startswith(VERDICT))).select(
+            F.array_sort(F.filter("items", lambda x: ~x.startswith(VERDICT))).alias("antecedent")
+        ).where(F.size("antecedent") > 1).distinct()
+        posted = posting_of(materialise(proposed, "url-itemsets"), groups)
+        held = together.select("leaders", "verdict", F.col("n").alias("k"), F.explode("leaders").alias("posting")).join(posted, "posting")
+        whole = held.where(F.size(F.array_except("antecedent", "leaders")) == 0).groupBy("antecedent").agg(
+            F.sum("k").alias("n"), F.sum(F.when(F.col("verdict") == BLOCK, F.col("k")).otherwise(0)).alias("blocked")
         )
-        whole = split.where((F.size("said") == 0) & (F.size("antecedent") > 1)).select("antecedent", F.col("freq").alias("n"))
-        told = split.where(F.size("said") == 1).select("antecedent", F.substring(F.col("said")[0], len(VERDICT) + 1, 100).alias("verdict"), "freq")
-        raw = told.join(whole, "antecedent").select("antecedent", "verdict", *rated(F.col("freq"), F.col("n")))
+        raw = whole.select("antecedent", "n", F.inline(said)).where(F.col("freq") >= least).select("antecedent", "verdict", *rated(F.col("freq"), F.col("n")))
     plain = materialise(alone.unionByName(raw).where(F.col("confidence") >= confidence), "url-rules")
     # a rule is redundant if dropping one of its tokens leaves a rule at least as sure
     shorter = plain.select(F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
@@ -140,13 +150,9 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
         parts.join(shorter, "part").where((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence"))).select("antecedent", "verdict").distinct()
     )
     rules = plain.join(redundant, ["antecedent", "verdict"], "left_anti")
-    rarest = (
-        rules.select("antecedent", "verdict", F.explode("antecedent").alias("leader"))
-        .join(groups.select("leader", "n"), "leader")
-        .groupBy("antecedent", "verdict")
-        .agg(F.min_by("leader", F.struct("n", "leader")).alias("posting"))
-    )
-    return rules.join(rarest, ["antecedent", "verdict"]), classes.select("token", "leader")
+    rarest = posting_of(rules.select("antecedent").distinct(), groups)
+    return rules.join(rarest, "antecedent"), classes.select("token", "leader")
+
 
 
 def filtered(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -212,6 +213,28 @@ def test_sharding(spark):
     assert sharding.shard(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "own"])
+def test_sharding_of_hot_texts(spark, ids):
+    texts = ["hot text of many rows"] * 3000 + random_texts(6, 2000, 12) + ["twice so often"] * 2
+    named = {"none": [None] * len(texts), "one": [7] * len(texts), "own": list(range(len(texts)))}[ids]
+    d = spark.createDataFrame(list(zip(named, texts)), "doc_id long, text string")
+    got = sharding.shard(d).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in zip(named, texts))
+    size, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32].add(r.shard)
+    assert set(size) == set(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # a shard ends within the copies of one text that is not cut
+    largest = max(n * (len(t.encode()) + 1) for t, n in Counter(texts[3000:]).items())
+    total = sum(size.values())
+    assert all(abs(v - total / 8) <= 2 * largest for v in size.values())
+    split = {c for c, s in where.items() if len(s) > 1}
+    hot = zlib.crc32(texts[0].encode())
+    assert split == {hot} and len(where[hot]) <= 3000 * (len(texts[0]) + 1) * 8 / total + 2
+
+
 def test_additive_search(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(900, 16)).astype(np.float32)

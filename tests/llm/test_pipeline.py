@@ -56,3 +56,15 @@ def test_run_and_empty(spark, folder, tmp_path):
     assert P.run(spark, folder).count() > 0
     write(spark, str(tmp_path), [], [], [])
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_come_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, name in enumerate(("toxic_score", "quality_score", "_row", "row_number", "score", "Row_Number_", "class_id", "id", "digest", "row", "contaminated")):
+        docs = docs.withColumn(name, P.F.lit(k) + P.F.coalesce("doc_id", P.F.lit(-1)))
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == columns
+        assert docs.where(" or ".join(f"`{c}` <> {k} + coalesce(doc_id, -1)" for k, c in enumerate(columns[5:]))).count() == 0
+    assert docs.count() > 0 and P.STAGES[-1][1](spark, docs, folder).count() > 0
