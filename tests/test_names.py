@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from skonto.operators import bank, names
 
@@ -21,57 +22,73 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def one_deletion(a, b):
-    cut = lambda w: {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return bool(cut(a) & cut(b))
-
-
 def match(a, b):
     if a == b:
         return 1.0
     out = 0.0
-    if min(len(a), len(b)) >= 5:
+    if min(len(a), len(b)) >= 5 and all(2 * sum(c.isalpha() for c in w) > len(w) for w in (a, b)):
         if a.startswith(b) or b.startswith(a):
             out = names.BEGINS
-        if one_deletion(a, b) and (near := 1 - levenshtein(a, b) / max(len(a), len(b))) >= names.NEAR:
+        if (near := 1 - levenshtein(a, b) / max(len(a), len(b))) >= names.NEAR:
             out = max(out, near)
     return out
 
 
 def brute(left, right, floor):
+    """Every pair measured; nothing decides beforehand which pairs meet."""
     every = {n: sorted(set(n.split())) for n in {*left, *right}}
     df = Counter(w for ws in every.values() for w in ws)
-    weight = {w: math.log1p(len(every) / n) * (0.25 if w in names.GENERIC else 1) * (0.6 if w.isdigit() else 1) for w, n in df.items()}
+    weight = {w: min(12, len(w)) * (1 + math.log1p(len(every) / (1 + n)) / 2) * (0.25 if w in names.GENERIC else 1) * (0.6 if w.isdigit() else 1) for w, n in df.items()}
     out = {}
     for a in set(left):
         for b in set(right):
             x, y = every[a], every[b]
-            covered = sum(weight[t] * max(match(t, u) for u in y) for t in x) + sum(weight[u] * max(match(t, u) for t in x) for u in y)
-            meet = any(match(t, u) for t in x for u in y)
-            s = covered / (sum(weight[t] for t in x) + sum(weight[u] for u in y))
+            shares = sorted((sum(weight[t] * max(match(t, u) for u in y) for t in x) / sum(weight[t] for t in x), sum(weight[u] * max(match(t, u) for t in x) for u in y) / sum(weight[u] for u in y)))
+            s = 0.3 * shares[0] + 0.7 * shares[1]
             s = min(s, 0.8) if min(len(x), len(y)) == 1 else s
             p, q = a.replace(" ", ""), b.replace(" ", "")
             j = 1 - levenshtein(p, q) / max(len(p), len(q))
             s = 1.0 if a == b else max(s, j if j >= 0.88 else 0)
-            if s >= floor and meet and covered / (sum(weight[t] for t in x) + sum(weight[u] for u in y)) >= floor:
+            if s >= floor:
                 out[a, b] = round(s, 9)
     return out
 
 
-def test_similar_names(spark):
-    rng = np.random.default_rng(1)
-    known = sorted({" ".join(rng.choice(WORDS, int(rng.integers(1, 4)), replace=False)) for _ in range(60)})
+def agree(spark, printed, known, floor):
+    left, right = spark.createDataFrame([(n,) for n in printed], "printed string"), spark.createDataFrame([(n,) for n in known], "known string")
+    got = {(r.printed, r.known): round(r.s, 9) for r in names.similar_names(left, right, floor).collect()}
+    want = brute(printed, known, floor)
+    assert got == want
+    return want
 
-    def typo(n):
-        k = int(rng.integers(0, len(n)))
-        return n if n[k] == " " else n[:k] + "xq"[int(rng.integers(0, 2))] * int(rng.integers(0, 2)) + n[k + 1 :]
 
-    printed = sorted({" ".join(typo(n).split()) for n in known} - {""}) + ["hp", "3m", "xeyer elektro", "ganz anders"]
-    left, right = spark.createDataFrame([(n,) for n in printed], "printed string"), spark.createDataFrame([(n,) for n in known], "known string")
-    got = {(r.printed, r.known): round(r.s, 9) for r in names.similar_names(left, right, 0.75).collect()}
-    want = brute(printed, known, 0.75)
-    assert {k: got.get(k) for k in want} == want and len(want) > 40
-    assert names.similar_names(left.limit(0), right, 0.75).count() == 0
+def test_similar_names(spark):
+    rng = np.random.default_rng(1)
+    long = "schneiderberger kaltenbrunn versicherungsmakler grosskuechenbedarf".split()
+    known = sorted({" ".join(rng.choice(WORDS + long, int(rng.integers(1, 4)), replace=False)) for _ in range(70)})
+
+    def typos(n):
+        for _ in range(int(rng.integers(0, 1 + len(n) // 6))):
+            k = int(rng.integers(0, len(n)))
+            n = n[:k] + "xqm "[int(rng.integers(0, 4))] * int(rng.integers(0, 2)) + n[k + int(rng.integers(0, 2)) :]
+        return n
+
+    printed = sorted({" ".join(typos(n).split()) for n in known} - {""}) + ["hp", "3m", "xeyer elektro", "ganz anders", "schmeiderbergar", "schneiderberger kaltemprunn", "abc def", "kalten brunn", "e1ektro rneyer", "k12345"]
+    want = agree(spark, printed, known + ["abcdef", "k12346", "kaltenbrunn"], 0.75)
+    assert len(want) > 60 and ("abc def", "abcdef") in want and ("kalten brunn", "kaltenbrunn") in want
+    assert any(p == "schmeiderbergar" for p, _ in agree(spark, printed, ["schneiderberger", "schneiderberger kaltenbrunn"], 0.6))
+    none = spark.createDataFrame([], "printed string")
+    assert names.similar_names(none, spark.createDataFrame([("a",)], "known string"), 0.75).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.88])
+def test_near_strings(spark, least):
+    rng = np.random.default_rng(3)
+    strings = sorted({"".join(rng.choice(list("abc"), int(rng.integers(1, 14)))) for _ in range(250)})
+    a, b = strings[::2], strings[1::3] + strings[:20]
+    got = {(r.a, r.b): round(r.match, 9) for r in names.near_strings(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), least).collect()}
+    close = lambda x, y: 1 - levenshtein(x, y) / max(len(x), len(y))
+    assert got == {(x, y): round(close(x, y), 9) for x in a for y in b if x != y and close(x, y) >= least}
 
 
 def test_evidence(spark):
