@@ -11,6 +11,7 @@ The table of labels is fixed and small, so it goes to every task; texts stay whe
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +61,8 @@ def label_keys(labels: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
 
 def label_table(spark: SparkSession, keys: list[tuple[str, str]]) -> DataFrame:
     """The labels as a table of one literal."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name")) for k, n in keys])))
+    rows = json.dumps([{"key": k, "name": n} for k, n in keys])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<key:string,name:string>>")))
 
 
 def label_hits(lines: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -86,26 +88,31 @@ def without_overlaps(hits: DataFrame) -> DataFrame:
     return longest.withColumn("reach", reach).where(F.col("reach").isNull() | ((F.col("at") > F.col("reach")) & after_colons)).drop("reach")
 
 
-def _rest(words: Column) -> Column:
-    """What may be a value: without what leads to it, up to a gap or a word that ends it."""
-    lead = lambda w: w.isin(":", "#", ".", "-", GAP)
-    first = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~lead(w), i)), lambda i: i.isNotNull()))
-    begun = F.when(first.isNotNull(), F.slice(words, first + 1, F.size(words)))
+def with_rest(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``rest``, what may be a value among the words ``tail``: without what leads to it, up to a gap or a word that ends it.
+
+    Each step is a generator, behind which filters can't reach, so nothing is worked out twice.
+    """
+    once = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
+    place = lambda words, cond: F.array_min(F.filter(F.transform(words, lambda w, i: F.when(cond(w, i), i)), lambda i: i.isNotNull()))
+    rows = once(spans, place("tail", lambda w, i: ~w.isin(":", "#", ".", "-", GAP)), "skip")
+    rows = once(rows, F.when(F.col("skip").isNotNull(), F.slice("tail", F.col("skip") + 1, F.size("tail"))), "begun")
     # "beim Gläubiger : 4711": words without a digit up to a colon belong to the label
-    colon = F.array_position(begun, ":").cast("int")
-    begun = F.when((colon > 0) & (colon <= 5) & ~F.exists(F.slice(begun, F.lit(1), F.greatest(colon - 1, F.lit(0))), lambda w: w.rlike(rf"\d|{GAP}")), F.slice(begun, colon + 1, F.size(begun))).otherwise(begun)
-    end = F.array_min(F.filter(F.transform(begun, lambda w, i: F.when((i > 0) & ((w == GAP) | F.lower(w).isin(*STOPS) | w.rlike(r"^\(|;$")), i)), lambda i: i.isNotNull()))
-    return F.array_join(F.slice(begun, F.lit(1), F.coalesce(end, F.size(begun))), " ")
+    rows = once(rows, F.coalesce(F.array_position("begun", ":"), F.lit(0)).cast("int"), "colon")
+    leads = F.col("colon").between(2, 5) & ~F.exists(F.slice("begun", F.lit(1), F.greatest(F.col("colon") - 1, F.lit(0))), lambda w: w.rlike(rf"\d|{GAP}"))
+    rows = once(rows, F.when(leads, F.slice("begun", F.col("colon") + 1, F.size("begun"))).otherwise(F.col("begun")), "said")
+    rows = once(rows, place("said", lambda w, i: (i > 0) & ((w == GAP) | F.lower(w).isin(*STOPS) | w.rlike(r"^\(|;$"))), "end")
+    return once(rows, F.array_join(F.slice("said", F.lit(1), F.coalesce("end", F.size("said"))), " "), "rest").drop("skip", "begun", "colon", "said", "end")
 
 
-def reference_value(rest: Column) -> Column:
-    """The reference number in what follows a label; null without one, and for a date or an amount."""
-    rest = F.trim(F.regexp_replace(rest, r"^[\s:#.\-]+|[\s.:;,]+$", ""))
-    court = F.regexp_extract(rest, rf"^.{{0,3}}?(?<!\w)({COURT})", 1)
-    plain = F.regexp_extract(rest, rf"(?U)(?<![\w,.])({GROUPED}|{NUMBER})", 1)
-    value = F.regexp_replace(F.when(court != "", court).otherwise(plain), r"[.,;:\-/]+$", "")
-    wrong = rest.rlike(rf"^(?:{R.AMOUNT})(?![\w/\-])") | value.rlike(rf"\d{{1,2}}\.\d{{1,2}}\.\d{{2,4}}|^(?:{R.AMOUNT})$") | ~value.rlike(r"\d")
-    return F.when((rest != "") & (F.length(rest) <= LONGEST_VALUE) & (F.length(value) <= 32) & ~wrong, value)
+def with_reference_value(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``value``, the reference number in ``rest``; null without one, and for a date or an amount."""
+    tidy = rows.select(*[c for c in rows.columns if c != "rest"], F.explode(F.array(F.trim(F.regexp_replace("rest", r"^[\s:#.\-]+|[\s.:;,]+$", "")))).alias("rest")).where((F.col("rest") != "") & (F.length("rest") <= LONGEST_VALUE))
+    court = F.nullif(F.regexp_extract("rest", rf"^.{{0,3}}?(?<!\w)({COURT})", 1), F.lit(""))
+    plain = F.regexp_extract("rest", rf"(?U)(?<![\w,.])({GROUPED}|{NUMBER})", 1)
+    cut = tidy.select("*", F.explode(F.array(F.regexp_replace(F.coalesce(court, plain), r"[.,;:\-/]+$", ""))).alias("value"))
+    wrong = F.col("rest").rlike(rf"^(?:{R.AMOUNT})(?![\w/\-])") | F.col("value").rlike(rf"\d{{1,2}}\.\d{{1,2}}\.\d{{2,4}}|^(?:{R.AMOUNT})$")
+    return cut.where(F.col("value").rlike(r"\d") & (F.length("value") <= 32) & ~wrong)
 
 
 def labelled_values(documents: DataFrame, labels: list[tuple[str, str]], ends: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +125,7 @@ def labelled_values(documents: DataFrame, labels: list[tuple[str, str]], ends: l
     line = Window.partitionBy("doc_id", "pos").orderBy("at")
     limit = F.coalesce(F.lead("at").over(line), F.size("words"))
     alone = (F.count("*").over(Window.partitionBy("doc_id", "pos")) == 1) & ~F.exists(F.slice("words", F.lit(1), F.col("at")), lambda w: ~F.lower(w).isin(*BEFORE))
-    spans = hits.withColumns({"rest": _rest(F.slice("words", F.col("upto") + 1, limit - F.col("upto"))), "alone": alone}).where(F.col("name").isin(*sorted({n for _, n in labels})))
+    spans = with_rest(hits.withColumns({"tail": F.slice("words", F.col("upto") + 1, limit - F.col("upto")), "alone": alone}).where(F.col("name").isin(*sorted({n for _, n in labels}))))
     behind = spans.where("rest <> ''").select("doc_id", "pos", "at", "name", "rest", F.lit("line").alias("how"))
     # a label alone on its line: the first cell of the next line, unless that is a label itself
     cell = F.trim(F.substring_index("next", GAP, 1))
@@ -140,5 +147,5 @@ def references(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = {k: (*v, *(extra or {}).get(k, ())) for k, v in W.REFERENCES.items()}
     found = labelled_values(documents, label_keys(own), label_keys(W.ENDS), doc_id, text)
-    named = found.withColumn("value", reference_value(F.col("rest"))).where("value is not null").withColumn("normalized", normalize_reference(F.col("value"))).where("length(normalized) >= 3")
+    named = with_reference_value(found).withColumn("normalized", normalize_reference(F.col("value"))).where("length(normalized) >= 3")
     return named.groupBy(F.col("doc_id").alias(doc_id), F.col("name").alias("ref_type"), "normalized").agg(F.min_by("value", F.struct("pos", "at")).alias("value"))

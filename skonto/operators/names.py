@@ -3,7 +3,8 @@
 A name is its words. A word weighs more the longer it is and the fewer names have it; words that many companies share and
 numbers weigh less. Two words agree fully if they are equal, by four fifths if the longer begins with the shorter, and else as far as
 their edit distance leaves of them. Of two names the other's words cover a share of the weight each; the larger share counts most, as
-one may be short for the other. Names also agree by their letters without blanks if these differ little.
+one may be short for the other. Names also agree by their letters without blanks if these differ little and
+their digits not at all.
 
 Everything is joins, and no pair that the measure accepts is lost:
 
@@ -60,31 +61,35 @@ def _closeness(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def near_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, match) of the different strings ``a`` of ``left`` and ``b`` of ``right`` with a closeness of ``least`` (over a half) or more."""
+def near_strings(left: DataFrame, right: DataFrame, least: float, *same: str) -> DataFrame:
+    """(a, b, match) of the different strings ``a`` of ``left`` and ``b`` of ``right`` with a closeness of ``least`` (over a half) or more.
+
+    Columns named in ``same`` must be equal on both sides.
+    """
     share = F.lit(1 - least)
     edits = lambda n: F.floor(n * share + 1e-9).cast("int")  # noqa: E731  of a string of n letters and one no longer
     begin = lambda n, i, parts: F.floor(n * (i - 1) / parts).cast("int")  # noqa: E731  of its i-th part, from 0
 
     def parts_of(df: DataFrame, c: str) -> DataFrame:
         n = F.length(c)
-        sized = df.select(c, n.alias("long"), edits(n).alias("k"))
+        sized = df.select(c, *same, n.alias("long"), edits(n).alias("k"))
         cut = F.transform(F.sequence(F.lit(1), F.col("k") + 1), lambda i: F.struct(i.alias("i"), F.substr(F.col(c), begin(F.col("long"), i, F.col("k") + 1) + 1, begin(F.col("long"), i + 1, F.col("k") + 1) - begin(F.col("long"), i, F.col("k") + 1)).alias("part"), begin(F.col("long"), i, F.col("k") + 1).alias("at")))
-        return sized.select(c, "long", F.inline(cut))
+        return sized.select(c, *same, "long", F.inline(cut))
 
     def places_of(df: DataFrame, c: str) -> DataFrame:
         """Where parts of strings as long or longer may stand in shorter ones."""
         n = F.length(c)
-        sized = df.select(c, n.alias("n"), F.explode(F.sequence(n, F.floor(n / (1 - share) + 1e-6).cast("int"))).alias("long")).withColumn("k", edits(F.col("long"))).where("long - n <= k")
-        each = sized.select(c, "n", "long", "k", F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("i"))
+        sized = df.select(c, *same, n.alias("n"), F.explode(F.sequence(n, F.floor(n / (1 - share) + 1e-6).cast("int"))).alias("long")).withColumn("k", edits(F.col("long"))).where("long - n <= k")
+        each = sized.select(c, *same, "n", "long", "k", F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("i"))
         at, size, off = begin(F.col("long"), F.col("i"), F.col("k") + 1), begin(F.col("long"), F.col("i") + 1, F.col("k") + 1) - begin(F.col("long"), F.col("i"), F.col("k") + 1), F.col("n") - F.col("long")
         low = F.greatest(F.lit(0), at - (F.col("i") - 1), at + off - (F.col("k") + 1 - F.col("i")))
         high = F.least(F.col("n") - size, at + (F.col("i") - 1), at + off + (F.col("k") + 1 - F.col("i")))
         found = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.substr(F.col(c), p + 1, size)))
-        return each.select(c, "long", "i", F.explode(F.array_distinct(found)).alias("part"))
+        return each.select(c, *same, "long", "i", F.explode(F.array_distinct(found)).alias("part"))
 
-    a, b = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
-    met = parts_of(a, "a").join(places_of(b, "b"), ["long", "i", "part"]).select("a", "b").unionByName(parts_of(b, "b").join(places_of(a, "a"), ["long", "i", "part"]).select("a", "b"))
+    a, b = left.select("a", *same).where("a <> ''").distinct(), right.select("b", *same).where("b <> ''").distinct()
+    by = ["long", "i", "part", *same]
+    met = parts_of(a, "a").join(places_of(b, "b"), by).select("a", "b").unionByName(parts_of(b, "b").join(places_of(a, "a"), by).select("a", "b"))
     return met.where("a <> b").distinct().withColumn("match", _closeness(F.col("a"), F.col("b"))).where(F.col("match") >= least)
 
 
@@ -113,10 +118,10 @@ def similar_names(left: DataFrame, right: DataFrame, floor: float, left_name: st
     one, two = (written(x.join(weights, "word").withColumn("total", whole).withColumn("n", F.count("*").over(Window.partitionBy("name"))), "weighted-words") for x in (one, two))
     pairs = written(word_pairs(one, two), "word-pairs")
     by = lambda x, y: x.select(F.col("name").alias("l"), F.col("word").alias("a")).join(pairs, "a").join(y.select(F.col("name").alias("r"), F.col("word").alias("b")), "b").select("l", "r")
-    letters = lambda x, c: x.select("name").distinct().select("name", F.replace("name", F.lit(" "), F.lit("")).alias(c))
+    letters = lambda x, c: x.select("name").distinct().select("name", F.replace("name", F.lit(" "), F.lit("")).alias(c), F.regexp_replace("name", "[^0-9]", "").alias("digits"))
     left_letters, right_letters = letters(one, "a"), letters(two, "b")
-    alike = near_strings(left_letters, right_letters, JOINED).select("a", "b").unionByName(left_letters.join(right_letters, F.col("a") == F.col("b")).select("a", "b")).distinct()
-    by_letters = alike.join(left_letters.withColumnRenamed("name", "l"), "a").join(right_letters.withColumnRenamed("name", "r"), "b").select("l", "r")
+    alike = near_strings(left_letters, right_letters, JOINED, "digits").select("a", "b").unionByName(left_letters.join(right_letters, F.col("a") == F.col("b")).select("a", "b")).distinct()
+    by_letters = alike.join(left_letters.select("a", F.col("name").alias("l")), "a").join(right_letters.select("b", F.col("name").alias("r")), "b").select("l", "r")
     met = written(by(_heavy(one, floor), two).unionByName(by(one, _heavy(two, floor))).unionByName(by_letters).distinct(), "names-met")
     lw = one.select(F.col("name").alias("l"), F.col("word").alias("a"), F.col("weight").alias("wa"))
     rw = two.select(F.col("name").alias("r"), F.col("word").alias("b"), F.col("weight").alias("wb"))
@@ -127,7 +132,8 @@ def similar_names(left: DataFrame, right: DataFrame, floor: float, left_name: st
     rows = met.join(from_left, ["l", "r"], "left").join(from_right, ["l", "r"], "left").join(sizes(one, "l", "la", "na"), "l").join(sizes(two, "r", "lb", "nb"), "r")
     a, b = F.col("ca") / F.col("la"), F.col("cb") / F.col("lb")
     covered = F.coalesce(COVERED_MORE * F.greatest(a, b) + (1 - COVERED_MORE) * F.least(a, b), F.lit(0.0))
-    joined = _closeness(F.replace("l", F.lit(" "), F.lit("")), F.replace("r", F.lit(" "), F.lit("")))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    joined = F.when(digits("l") == digits("r"), _closeness(F.replace("l", F.lit(" "), F.lit("")), F.replace("r", F.lit(" "), F.lit("")))).otherwise(0.0)
     score = F.when(F.col("l") == F.col("r"), 1.0).otherwise(
         F.greatest(F.when(F.least("na", "nb") == 1, F.least(covered, F.lit(ONE_WORD))).otherwise(covered), F.when(joined >= JOINED, joined).otherwise(0.0))
     )

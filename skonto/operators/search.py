@@ -128,3 +128,15 @@ def search_in_scope(hits: DataFrame, invoices: DataFrame, cases: DataFrame, docu
         .unionByName(of(documents.where(inside | F.col("company_id").isNull()), "doc_id", "document"))
     )
     return hits.join(own, ["kind", "id"], "left_semi")
+
+
+def chosen_parties(parties: DataFrame, aliases: DataFrame, ibans: DataFrame, typed: str) -> DataFrame:
+    """The parties (party_id, name, address, ...) that a typed text leaves in a list: it stands in the name, an alias, the address or an IBAN.
+
+    Names and addresses are compared normalised, IBANs without blanks; nothing typed leaves all.
+    """
+    word, number = normalize_name(F.lit(typed)), normalize_iban(F.lit(typed))
+    named = lambda df, c: df.where((F.length(word) > 0) & F.contains(normalize_name(F.coalesce(F.col(c), F.lit(""))), word)).select("party_id")
+    by_iban = ibans.where((F.length(number) > 0) & F.contains(normalize_iban(F.col("iban")), number)).select("party_id")
+    hits = reduce(DataFrame.unionByName, [named(parties, "name"), named(parties, "address"), named(aliases, "alias"), by_iban]).distinct()
+    return parties if not typed.strip() else parties.join(hits, "party_id", "left_semi")

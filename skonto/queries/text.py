@@ -66,11 +66,6 @@ def document_fields(t: LedgerTables) -> DataFrame:
     return DOC.analyse(t.read("documents").select("doc_id", "text"), date(2026, 1, 1)).select("doc_id", "kind", "gross_cents", "document_date", "invoice_number", "iban", "issues", "confidence")
 
 
-@query()
-def document_references(t: LedgerTables) -> DataFrame:
-    return DOC.extract_references(t.read("documents"))
-
-
 @query(f"""WITH {INVOICES}, a AS (SELECT *, round(gross_cents / 1.19)::BIGINT AS net FROM invoices)
 SELECT invoice_id AS doc_id, net AS net_cents, gross_cents - net AS vat_cents, gross_cents, true AS amounts_agree, invoice_number, invoice_date AS document_date FROM a""")
 def invoice_layouts(t: LedgerTables) -> DataFrame:

@@ -47,7 +47,8 @@ def brute(left, right, floor):
             s = 0.3 * shares[0] + 0.7 * shares[1]
             s = min(s, 0.8) if min(len(x), len(y)) == 1 else s
             p, q = a.replace(" ", ""), b.replace(" ", "")
-            j = 1 - levenshtein(p, q) / max(len(p), len(q))
+            number = lambda t: "".join(c for c in t if c.isdigit())
+            j = 1 - levenshtein(p, q) / max(len(p), len(q)) if number(p) == number(q) else 0
             s = 1.0 if a == b else max(s, j if j >= 0.88 else 0)
             if s >= floor:
                 out[a, b] = round(s, 9)

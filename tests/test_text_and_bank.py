@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skonto.functions import dates, money
 from skonto.functions import text as X
-from skonto.operators import bank, documents, search
+from skonto.operators import bank, documents, labels, search
 from skonto.sources import bank_files, files
 from skonto.streaming import ingest
 
@@ -130,7 +130,7 @@ def test_documents(spark):
     assert (one.kind, one.net_cents, one.vat_cents, one.gross_cents, one.document_date, one.due_date, one.invoice_number, one.issues) == ("invoice", 100_000, 19_000, 119_000, date(2024, 3, 15), date(2024, 4, 14), "RE-2024/001", "")
     assert (got[2].kind, got[2].fees_cents, got[2].total_claimed_cents, got[2].issues) == ("second_dunning", 500, 119_500, "")
     assert [got[k].kind for k in (3, 4, 5)] == ["other", "other", "delivery_note"] and got[3].kind_confidence == 0.0
-    refs = documents.extract_references(docs)
+    refs = labels.references(docs)
     assert {(r.ref_type, r.normalized) for r in refs.where("doc_id = 1").collect()} == {("customer_number", "K4711")}
 
 
