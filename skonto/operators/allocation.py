@@ -1,4 +1,9 @@
-"""Payments spread over open items, in the order of the law or oldest first, as one window."""
+"""Payments spread over open items, in the order of the law or oldest first.
+
+What stands before a part in its supplier's order is a running sum over the parts alone, made month by month, so that a large
+supplier is several groups. A payment then takes the parts of which less stands before than it is worth: parts are filed by the
+power of two of that sum, and a payment looks into the files up to its own power, so it meets hardly more parts than it pays.
+"""
 
 from __future__ import annotations
 
@@ -27,11 +32,19 @@ def allocate(payments: DataFrame, items: DataFrame, rule: str = D.STATUTORY) ->
     """
     age = [F.coalesce("due_date", "invoice_date"), F.col("invoice_date"), F.col("invoice_id")]
     order = [F.col("stage"), *age] if rule == D.STATUTORY else [*age, F.col("stage")]
-    upto = Window.partitionBy("payment_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = payments.join(open_parts(items), "supplier_id")
-    before = F.sum("open_part_cents").over(upto) - F.col("open_part_cents")
-    share = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("open_part_cents"), F.col("payment_cents") - before))
-    return pairs.withColumn("allocated_cents", share).where("allocated_cents > 0").select("payment_id", "invoice_id", "component", "allocated_cents")
+    month = F.trunc(age[0], "MM")
+    parts = open_parts(items).withColumn("chunk", F.struct(F.when(F.lit(rule == D.STATUTORY), F.col("stage")).otherwise(0).alias("stage"), month.alias("month")))
+    # chunks of a supplier stand in order; their sums are a few hundred rows a supplier
+    chunks = parts.groupBy("supplier_id", "chunk").agg(F.sum("open_part_cents").alias("sum"))
+    earlier = F.sum("sum").over(Window.partitionBy("supplier_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")
+    upto = Window.partitionBy("supplier_id", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = parts.withColumn("within", F.sum("open_part_cents").over(upto) - F.col("open_part_cents"))
+    placed = inside.join(chunks.select("supplier_id", "chunk", earlier.alias("earlier")), ["supplier_id", "chunk"]).withColumn("before", F.col("earlier") + F.col("within"))
+    power = lambda c: F.length(F.conv(c.cast("string"), 10, 2))
+    filed = placed.select("supplier_id", "invoice_id", "component", "open_part_cents", "before", F.when(F.col("before") == 0, 0).otherwise(power(F.col("before"))).alias("file"))
+    asking = payments.where("payment_cents > 0").select("payment_id", "supplier_id", "payment_cents", F.explode(F.sequence(F.lit(0), power(F.col("payment_cents")))).alias("file"))
+    met = asking.join(filed, ["supplier_id", "file"]).where("before < payment_cents")
+    return met.select("payment_id", "invoice_id", "component", F.least("open_part_cents", F.col("payment_cents") - F.col("before")).alias("allocated_cents"))
 
 
 def unallocated(payments: DataFrame, allocated: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def bank_matching(t: LedgerTables) -> DataFrame:
     )
     ibans = t.parties.select("party_id", F.lit("").alias("iban"))
     none = t.spark.createDataFrame([], "supplier_id long, iban string, payment_date date, payment_id long")
-    found = B.match_suppliers(lines, t.parties.where(F.col("represents_id").isNull()), ibans, none, items)
+    mentions = written(B.number_mentions(lines, items), "mentions")
+    found = B.match_suppliers(lines, t.parties.where(F.col("represents_id").isNull()), ibans, none, items, mentions=mentions)
     return found.select("tx_id", "supplier_id", F.round("score", 6).alias("score"), "ambiguous")
 
 
@@ -71,3 +72,27 @@ def unique_amounts(t: LedgerTables) -> DataFrame:
     """Open amounts that only one invoice of a supplier has: what an amount alone can tell."""
     items = L.open_items(t.invoices, t.entries_by_invoice, AS_OF)
     return items.groupBy("supplier_id", "balance_cents").agg(F.count("*").alias("n"), F.min("invoice_id").alias("invoice_id")).where("n = 1").drop("n")
+
+
+@query(f"""{LEDGER}, l AS (SELECT *, invoice_id % 4 AS way FROM open_items), once AS (SELECT supplier_id, balance_cents FROM open_items GROUP BY ALL HAVING count(*) = 1),
+owner AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 1 ELSE s_suppkey END AS supplier_id FROM supplier),
+e AS (SELECT invoice_id AS tx_id, o.supplier_id, 0.95 AS w FROM l JOIN owner o ON o.id = l.supplier_id WHERE way = 0
+  UNION ALL SELECT invoice_id, supplier_id, 0.85 FROM l WHERE way = 1 AND supplier_id % 2 = 0
+  UNION ALL SELECT invoice_id, supplier_id, 0.85 FROM l WHERE way = 2
+  UNION ALL SELECT l.invoice_id, once.supplier_id, 0.3 FROM l JOIN once ON once.balance_cents = l.balance_cents)
+SELECT tx_id, supplier_id, round(1 - exp(sum(ln(1 - w))), 6) AS score FROM e GROUP BY ALL""")
+def bank_exact_evidence(t: LedgerTables) -> DataFrame:
+    """Lines that pay open invoices, told by their supplier's IBAN, an IBAN that paid before, the invoice number, or the amount alone."""
+    items = written(L.open_items(t.invoices, t.entries_by_invoice, AS_OF), "open-items")
+    way = F.col("invoice_id") % 4
+    iban = lambda kind, key: F.concat(F.lit(kind), F.lpad(key.cast("string"), 18, "0"))
+    lines = items.select(
+        F.col("invoice_id").alias("tx_id"), F.when(way == 0, iban("DE11", F.col("supplier_id"))).when(way == 1, iban("AT22", F.col("supplier_id"))).alias("counterparty_iban"), F.lit("").alias("counterparty_name"),
+        F.when(way == 2, F.concat(F.lit("Rechnung "), "invoice_number")).otherwise("Zahlung").alias("purpose"), F.lit("").alias("reference"), (-F.col("balance_cents")).alias("amount_cents"),
+    )
+    ibans = t.parties.select("party_id", iban("DE11", F.col("party_id")).alias("iban"))
+    # of two payments from an IBAN the earlier tells whose it is
+    paid = F.array(*[F.struct((F.col("party_id") + k).alias("supplier_id"), F.lit(day).alias("payment_date"), (F.col("party_id") * 2 + k).alias("payment_id")) for k, day in ((0, "1998-01-01"), (1, "1998-02-01"))])
+    payments = t.parties.where("party_id % 2 = 0").select(iban("AT22", F.col("party_id")).alias("iban"), F.inline(paid))
+    evidence = B.exact_evidence(lines, t.parties, ibans, payments, items, B.number_mentions(lines, items))
+    return B.noisy_or(evidence, "tx_id", "supplier_id").select("tx_id", "supplier_id", F.round("score", 6).alias("score"))

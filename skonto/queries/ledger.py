@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,9 +130,34 @@ def monthly_trend(t: LedgerTables) -> DataFrame:
   WHERE manual_status <> 'cancelled' WINDOW w AS (PARTITION BY supplier_id, gross_cents ORDER BY invoice_date, invoice_id))
 SELECT invoice_id, previous_id, CAST(days_between AS INTEGER) AS days_between FROM x WHERE days_between <= 14""")
 def duplicate_invoices(t: LedgerTables) -> DataFrame:
+    """Invoices as they are: none comes twice."""
     return L.duplicate_invoices(t.invoices).select("invoice_id", "previous_id", "days_between")
 
 
+@query(f"""WITH {INVOICES}, twice AS (SELECT invoice_id, supplier_id, gross_cents, invoice_date, manual_status FROM invoices
+    UNION ALL SELECT invoice_id + 10000000, supplier_id, gross_cents, invoice_date + CAST(invoice_id % 20 AS INTEGER), manual_status FROM invoices WHERE invoice_id % 37 = 0),
+x AS (SELECT *, lag(invoice_id) OVER w AS previous_id, date_diff('day', lag(invoice_date) OVER w, invoice_date) AS days_between FROM twice
+  WHERE manual_status <> 'cancelled' WINDOW w AS (PARTITION BY supplier_id, gross_cents ORDER BY invoice_date, invoice_id))
+SELECT invoice_id, previous_id, CAST(days_between AS INTEGER) AS days_between FROM x WHERE days_between <= 14""")
+def planted_duplicates(t: LedgerTables) -> DataFrame:
+    """Each 37th invoice comes a second time, up to twenty days later."""
+    again = t.invoices.where("invoice_id % 37 = 0").withColumns({"invoice_date": F.date_add("invoice_date", (F.col("invoice_id") % 20).cast("int")), "invoice_id": F.col("invoice_id") + 10_000_000})
+    return L.duplicate_invoices(t.invoices.unionByName(again)).select("invoice_id", "previous_id", "days_between")
+
+
+@query(f"""WITH {INVOICES},{ENTRIES},
+e AS (SELECT invoice_id, {_sum('', 'INVOICE')} AS invoiced, {_sum('-', 'CREDIT_NOTE')} AS credits, {_sum('', 'DUNNING_FEE')} AS fees, {_sum('', 'LATE_INTEREST')} AS interest
+  FROM entries WHERE invoice_id IS NOT NULL AND entry_date <= DATE '{AS_OF}' GROUP BY invoice_id),
+u AS (SELECT invoice_id, gross_cents // 100 AS costs, CASE WHEN invoice_id % 2 = 0 THEN gross_cents // 200 ELSE 0 END AS i, gross_cents // 4 AS p FROM invoices)
+SELECT invoice_id, fees - costs AS open_costs_cents, interest - i AS open_interest_cents, invoiced - credits - p AS open_principal_cents FROM invoices JOIN e USING (invoice_id) JOIN u USING (invoice_id)""")
+def allocated_states(t: LedgerTables) -> DataFrame:
+    """What is open of each invoice's costs, interest and principal after payments were used for them; later payments don't count."""
+    g, used = F.col("gross_cents"), lambda c, cents, day=AS_OF: F.struct(F.lit(c).alias("component"), cents.cast("bigint").alias("amount_cents"), F.lit(day).alias("payment_date"))
+    rows = F.array(used("costs", F.floor(g / 100)), used("interest", F.when(F.col("invoice_id") % 2 == 0, F.floor(g / 200)).otherwise(0)), used("principal", F.floor(g / 4)), used("principal", F.floor(g / 2), date(2000, 6, 1)))
+    allocations = t.invoices.select("invoice_id", F.inline(rows))
+    return L.invoice_states(t.invoices, t.entries_by_invoice, allocations, AS_OF).select("invoice_id", "open_costs_cents", "open_interest_cents", "open_principal_cents")
+
+
 @query(f"""{LEDGER}, w AS (SELECT CASE WHEN d BETWEEN 0 AND 30 THEN '0-30' WHEN d BETWEEN 31 AND 60 THEN '31-60' WHEN d BETWEEN 61 AND 90 THEN '61-90' END AS win, balance_cents
   FROM (SELECT date_diff('day', DATE '{AS_OF}', due_date) AS d, balance_cents FROM open_items))
 SELECT win AS "window", CAST(sum(balance_cents) AS BIGINT) AS open_cents, count(*) AS n_items FROM w WHERE win IS NOT NULL GROUP BY win""")

@@ -7,11 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skonto import domain as D
 from skonto.operators import allocation as A
 from skonto.operators import interest as I
 from skonto.operators import planners as P
 from skonto.operators import recurring as R
-from skonto.queries.base import AS_OF, ENTRIES, INVOICES
+from skonto.queries.base import AS_OF, ENTRIES, INVOICES, NOTICES
 from skonto.sources.ledger_tables import EARLY_RATES, LedgerTables
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +146,43 @@ def cancellations(t: LedgerTables) -> DataFrame:
     e = t.entries.withColumns({"entry_id": F.xxhash64("invoice_id", "entry_date", "category", "amount_cents", "part", "line"), "entry_type": F.col("category"), "payment_id": none, "reverses_entry_id": none})
     ids = t.invoices.where("manual_status = 'cancelled'").select("invoice_id")
     return P.cancel_invoices(ids, e, AS_OF).groupBy("invoice_id", "category", "error").agg(F.sum("amount_cents").alias("amount_cents"))
+
+
+_LETTERS = "letters AS (SELECT notice_id, invoice_id, notice_date, fees_cents // 2 AS interest_cents, CASE WHEN notice_id % 3 = 0 THEN 4000 + notice_id % 2 ELSE 0 END AS flat_fee_cents FROM notices)"
+
+
+@query(f"""WITH {INVOICES},{ENTRIES},{NOTICES},{_LETTERS}, r AS (SELECT * FROM (VALUES {", ".join(f"(DATE '{d}', {bp})" for d, bp in EARLY_RATES)}) v(valid_from, rate_bp)),
+v AS (SELECT CASE WHEN row_number() OVER (ORDER BY valid_from) = 1 THEN DATE '0001-01-01' ELSE valid_from END AS a, lead(valid_from, 1, DATE '9999-12-31') OVER (ORDER BY valid_from) AS b, rate_bp FROM r),
+c AS (SELECT notice_id AS claim_id, l.invoice_id, gross_cents AS principal, due_date, notice_date AS until FROM letters l JOIN invoices USING (invoice_id) WHERE due_date < notice_date),
+p AS (SELECT claim_id, greatest(entry_date, due_date) + 1 AS day, -amount_cents AS paid FROM c JOIN entries ON entries.invoice_id = c.invoice_id WHERE category = 'PAYMENT'),
+points AS (SELECT claim_id, day, sum(paid) AS paid FROM (SELECT claim_id, due_date + 1 AS day, 0 AS paid FROM c UNION ALL SELECT * FROM p UNION ALL SELECT claim_id, valid_from, 0 FROM c, r WHERE valid_from > due_date)
+  JOIN (SELECT claim_id, until FROM c) USING (claim_id) WHERE day <= until GROUP BY ALL),
+seg AS (SELECT claim_id, until, principal, day, coalesce(lead(day) OVER w, until + 1) AS till, sum(paid) OVER (PARTITION BY claim_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS paid FROM points JOIN c USING (claim_id) WINDOW w AS (PARTITION BY claim_id ORDER BY day)),
+s AS (SELECT claim_id, sum(greatest(0, principal - paid) * (rate_bp + 900) * date_diff('day', day, till)) AS n FROM seg JOIN v ON day >= a AND day < b GROUP BY claim_id),
+due AS (SELECT l.*, CAST((2 * coalesce(n, 0) + 3650000) // 7300000 AS BIGINT) AS calculated FROM letters l LEFT JOIN s ON claim_id = notice_id)
+SELECT notice_id, invoice_id, 'INTEREST' AS what, CAST(interest_cents AS BIGINT) AS claimed_cents, calculated AS calculated_cents, CAST(interest_cents - calculated AS BIGINT) AS difference_cents FROM due WHERE interest_cents > 0 OR calculated > 0
+UNION ALL SELECT notice_id, invoice_id, 'FLAT_FEE', CAST(flat_fee_cents AS BIGINT), 4000, CAST(flat_fee_cents - 4000 AS BIGINT) FROM due WHERE flat_fee_cents > 0""")
+def claimed_interest(t: LedgerTables) -> DataFrame:
+    """Interest and flat fees that letters claim, beside what is due at their dates."""
+    half, fee = F.floor(F.col("fees_cents") / 2).cast("bigint"), F.when(F.col("notice_id") % 3 == 0, 4000 + F.col("notice_id") % 2).otherwise(0)
+    letters = t.notices.select("notice_id", "invoice_id", "notice_date", half.alias("interest_cents"), fee.alias("flat_fee_cents"))
+    # an invoice's segments run up to its last letter and are made once for all of its letters
+    last = letters.groupBy(F.col("invoice_id").alias("claim_id")).agg(F.max("notice_date").alias("until"))
+    claims = t.invoices.select(F.col("invoice_id").alias("claim_id"), F.col("gross_cents").alias("principal_cents"), "due_date").join(last, "claim_id").where("due_date < until")
+    paid = _paid(t).join(last.select("claim_id"), "claim_id", "left_semi")
+    return I.compare_claims(letters, I.interest_segments(claims, paid, t.rates, 900), D.FLAT_FEE_CENTS)
+
+
+@query(f"""WITH t AS (SELECT s_suppkey AS k, DATE '1998-01-01' + CAST(s_suppkey % 200 AS INTEGER) AS a, 1 + s_suppkey % 31 AS day, CASE WHEN s_suppkey % 5 = 0 THEN DATE '1999-06-30' ELSE DATE '{UNTIL}' END AS b FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 7 <> 0),
+m AS (SELECT k, a, b, day, CAST(date_trunc('month', a) + to_months(CAST(i AS INTEGER)) AS DATE) AS m FROM t, (SELECT unnest(range(0, 30)) AS i)),
+o AS (SELECT k, least(CAST(last_day(m) AS DATE), m + CAST(day - 1 AS INTEGER)) AS occurrence FROM m WHERE least(CAST(last_day(m) AS DATE), m + CAST(day - 1 AS INTEGER)) BETWEEN a AND b)
+SELECT k AS recurring_id, 'MIETE-' || strftime(occurrence, '%Y-%m') AS invoice_number, occurrence + 14 AS due_date, CASE WHEN occurrence >= DATE '1999-01-01' THEN 11000 + k WHEN occurrence >= DATE '1998-03-01' THEN 10000 + k END AS gross_cents,
+  CASE WHEN occurrence < DATE '1998-03-01' THEN 'NO_AMOUNT' WHEN month(occurrence) = 5 THEN 'ADOPTED' ELSE 'CREATE' END AS action
+FROM o WHERE month(occurrence) % 3 <> 0""")
+def recurring_to_create(t: LedgerTables) -> DataFrame:
+    """What monthly templates still have to generate: every third month was, and each May's invoice is there already."""
+    templates = _templates(t).where("period = 'monthly'").withColumn("active", F.col("recurring_id") % 7 != 0)
+    every = R.occurrences(templates, UNTIL)
+    runs = every.where(F.month("occurrence") % 3 == 0).select("recurring_id", "occurrence")
+    there = every.where(F.month("occurrence") == 5).select("supplier_id", R.number_for(F.col("title"), F.col("period"), F.col("occurrence")).alias("invoice_number"), (F.col("recurring_id") * 100 + F.year("occurrence")).alias("invoice_id"))
+    return R.due_invoices(templates, _amounts(t), runs, there, UNTIL).select("recurring_id", "invoice_number", "due_date", "gross_cents", "action")

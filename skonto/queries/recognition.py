@@ -10,7 +10,9 @@ from skonto.operators import labels, names, senders
 from skonto.operators import search as S
 from skonto.operators.names import GENERIC
 from skonto.queries.base import NOTICES
+from skonto.sources import children as CH
 from skonto.sources.ledger_tables import LedgerTables
+from skonto.sources.shared import new_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -145,3 +147,20 @@ def chosen_parties(t: LedgerTables) -> DataFrame:
     ibans = t.parties.select("party_id", F.concat(F.lit("DE"), F.lpad((F.col("party_id") * 1000).cast("string"), 20, "0")).alias("iban"))
     some, more = (S.chosen_parties(parties, aliases, ibans, typed) for typed in ("Haus 3", "42 000"))
     return some.select("party_id").unionByName(more.select((F.col("party_id") + 1_000_000).alias("party_id")))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS party_id FROM supplier),
+a AS (SELECT party_id, 'Haus ' || party_id % 7 AS alias FROM p WHERE party_id % 3 <> 0 UNION SELECT party_id, 'Firma ' || party_id FROM p WHERE party_id % 3 <> 0
+  UNION SELECT party_id, 'Neu ' || party_id FROM p WHERE party_id % 6 = 0)
+SELECT party_id, coalesce(string_agg(alias, ',' ORDER BY alias), '') AS aliases, 'DE' || lpad(CAST(party_id AS VARCHAR), 20, '0') AS ibans FROM p LEFT JOIN a USING (party_id) GROUP BY party_id""")
+def parties_with_children(t: LedgerTables) -> DataFrame:
+    """Parties with their aliases and IBANs as arrays, after each third party's aliases were replaced, some by none."""
+    path = new_folder(t.spark, "aliases")
+    key = normalize_name(F.col("alias"))
+    forms = F.array(F.concat(F.lit("Haus "), (F.col("party_id") % 7).cast("string")), F.concat(F.lit("Firma "), F.col("party_id").cast("string")), F.concat(F.lit("firma-"), F.col("party_id").cast("string")), F.lit(" "))
+    CH.create_children(t.parties.select("party_id", F.explode(forms).alias("alias")), path, "party_id", "alias", key)
+    third = t.parties.where("party_id % 3 = 0").select("party_id")
+    CH.replace_children(path, third, third.where("party_id % 2 = 0").select("party_id", F.concat(F.lit("Neu "), F.col("party_id").cast("string")).alias("alias")), "party_id", "alias", key)
+    ibans = t.parties.select("party_id", F.concat(F.lit("DE"), F.lpad(F.col("party_id").cast("string"), 20, "0")).alias("iban"))
+    rows = CH.with_children(t.parties.select("party_id"), "party_id", aliases=t.spark.read.parquet(path).select("party_id", "alias"), ibans=ibans)
+    return rows.select("party_id", F.array_join("aliases", ",").alias("aliases"), F.array_join("ibans", ",").alias("ibans"))

@@ -5,22 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: what several joins need is made once, and lost executors cost nothing.
-
-    The folder is that of ``spark.checkpoint.dir``; only a local session without the setting gets one of its own.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path below the folder of ``spark.checkpoint.dir`` that nothing else uses; only a local session without the setting gets a folder of its own."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or getattr(spark, "_skonto_written", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         folder = spark._skonto_written = f"file://{tempfile.mkdtemp(prefix='skonto-')}"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet and read again: what several joins need is made once, and lost executors cost nothing."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,22 +34,27 @@ def sessions(events: DataFrame, gap: str = "90 seconds", lateness: str = "10 min
     return grouped.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append the lines of each micro-batch that the target does not have yet; a batch that is done again adds nothing."""
+def append_new(stream: DataFrame, target: str, checkpoint: str, *keys: str) -> StreamingQuery:
+    """Append the lines of a stream whose keys have not come before.
+
+    The keys that have come are the stream's state, kept by key beside the checkpoint, so a batch reads nothing of the target and
+    costs as much as its own lines, however large the target is. A batch that is done again overwrites itself. A large state
+    wants the RocksDB store (``spark.sql.streaming.stateStore.providerClass``).
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        part = f"{target}/batch={batch_id}"
-        once = df.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(target).where(F.col("batch") != batch_id).select(key)
-            once = once.join(known, key, "left_anti")
-        except AnalysisException as e:  # the first batch finds no target
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        once.write.mode("overwrite").parquet(part)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        df.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return stream.dropDuplicates(list(keys)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def change_feed(changes: DataFrame, checkpoint: str, tell: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Tell which tables changed: (entity, version, n_changes) of those that a micro-batch of changes (id, entity) touches.
+
+    The highest version and the number of changes of each table are the stream's state, so nobody polls the tables.
+    """
+    counters = changes.groupBy("entity").agg(F.max("id").alias("version"), F.count("*").alias("n_changes"))
+    return counters.writeStream.outputMode("update").foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def on_schedule(ticks: DataFrame, plan: Callable[[date], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
