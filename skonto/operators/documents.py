@@ -119,24 +119,6 @@ def issues(fields: DataFrame, today: date) -> DataFrame:
     return fields.withColumn("issues", F.array_join(F.array_compact(F.array(*[F.when(cond, code) for code, cond in checks])), ","))
 
 
-def link_invoices(references: DataFrame, fields: DataFrame, invoices: DataFrame, doc_id: str = "doc_id", keep: float = 0.3, most: int = 6) -> DataFrame:
-    """(doc_id, invoice_id, score): invoices whose number a document names, more so if supplier, amount or date agree.
-
-    ``fields``: doc_id, supplier_id, gross_cents, document_date, invoice_number; ``invoices``: invoice_id, supplier_id,
-    invoice_number, gross_cents, invoice_date.
-    """
-    from pyspark.sql.window import Window
-
-    named = references.select(doc_id, "normalized", F.lit(0.5).alias("w")).unionByName(fields.where("invoice_number is not null").select(doc_id, normalize_reference(F.col("invoice_number")).alias("normalized"), F.lit(0.6).alias("w")))
-    known = invoices.select("invoice_id", normalize_reference(F.col("invoice_number")).alias("normalized"), F.col("supplier_id").alias("inv_supplier"), F.col("gross_cents").alias("inv_cents"), "invoice_date")
-    hits = named.join(known, "normalized").groupBy(doc_id, "invoice_id", "inv_supplier", "inv_cents", "invoice_date").agg(F.sum("w").alias("w"))
-    scored = hits.join(fields.select(doc_id, "supplier_id", "gross_cents", "document_date"), doc_id)
-    supplier = F.when(F.col("supplier_id").isNull(), 0.0).when(F.col("supplier_id") == F.col("inv_supplier"), 0.15).otherwise(-0.3)
-    score = F.col("w") + supplier + F.when(F.col("gross_cents") == F.col("inv_cents"), 0.2).otherwise(0.0) + F.when(F.col("document_date") == F.col("invoice_date"), 0.15).otherwise(0.0)
-    best = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.desc("score"), "invoice_id"))
-    return scored.select(doc_id, "invoice_id", F.round(F.least(F.lit(1.0), score), 3).alias("score")).where(F.col("score") >= keep).withColumn("rank", best).where(F.col("rank") <= most)
-
-
 def analyse(documents: DataFrame, today: date, text: str = "text", doc_id: str | None = None) -> DataFrame:
     """Kind, fields and issues of every document, and how sure all that is.
 

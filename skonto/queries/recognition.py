@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skonto.functions.text import normalize_name
-from skonto.operators import labels, names, senders
+from skonto.operators import labels, links, names, senders
 from skonto.operators import search as S
 from skonto.operators.names import GENERIC
-from skonto.queries.base import NOTICES
+from skonto.queries.base import INVOICES, NOTICES
 from skonto.sources import children as CH
 from skonto.sources.ledger_tables import LedgerTables
 from skonto.sources.shared import new_folder
@@ -164,3 +164,33 @@ def parties_with_children(t: LedgerTables) -> DataFrame:
     ibans = t.parties.select("party_id", F.concat(F.lit("DE"), F.lpad(F.col("party_id").cast("string"), 20, "0")).alias("iban"))
     rows = CH.with_children(t.parties.select("party_id"), "party_id", aliases=t.spark.read.parquet(path).select("party_id", "alias"), ibans=ibans)
     return rows.select("party_id", F.array_join("aliases", ",").alias("aliases"), F.array_join("ibans", ",").alias("ibans"))
+
+
+@query(f"""WITH {INVOICES},{NOTICES},
+d AS (SELECT notice_id AS doc_id, n.invoice_id AS target, notice_id % 4 AS way, CASE WHEN notice_id % 5 <> 0 THEN supplier_id END AS own, CASE WHEN notice_id % 3 = 0 THEN gross_cents END AS gross,
+    CASE WHEN notice_id % 2 = 0 THEN invoice_date END AS day FROM notices n JOIN invoices USING (invoice_id)),
+told AS (SELECT doc_id, target AS invoice_id, [0.6, 0.45, 0.4, 0.5][way + 1] AS w, ['NUMBER', 'NUMBER', 'MISREAD', 'REFERENCE'][way + 1] AS reason FROM d),
+near AS (SELECT doc_id, invoice_id FROM d JOIN invoices ON supplier_id = own AND gross_cents = gross UNION SELECT doc_id, invoice_id FROM d JOIN invoices ON supplier_id = own AND invoice_date = day),
+every AS (SELECT doc_id, invoice_id, w, reason FROM told UNION ALL SELECT doc_id, invoice_id, 0, '' FROM near ANTI JOIN told USING (doc_id, invoice_id)),
+s AS (SELECT doc_id, invoice_id, round(least(1, w + CASE WHEN own = supplier_id THEN 0.15 WHEN own IS NOT NULL THEN -0.3 ELSE 0 END + CASE WHEN gross = gross_cents THEN 0.2 ELSE 0 END + CASE WHEN day = invoice_date THEN 0.15 ELSE 0 END), 3) AS score,
+    concat_ws(',', nullif(reason, ''), CASE WHEN own = supplier_id THEN 'SUPPLIER' WHEN own IS NOT NULL THEN 'OTHER_SUPPLIER' END, CASE WHEN gross = gross_cents THEN 'AMOUNT' END, CASE WHEN day = invoice_date THEN 'DATE' END) AS reasons
+  FROM every JOIN d USING (doc_id) JOIN invoices USING (invoice_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, invoice_id) AS rank FROM s WHERE score >= 0.3)
+SELECT doc_id, invoice_id, CAST(score AS DOUBLE) AS score, reasons, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
+def document_links(t: LedgerTables) -> DataFrame:
+    """Invoices that letters are about: by a labelled number, a number in the text, one as a scanner misreads it, or a case's reference."""
+    rows = t.notices.join(t.invoices, "invoice_id")
+    misread = F.translate(F.replace("invoice_number", F.lit("-"), F.lit(" - ")), "0158", "OISB")
+    shown = _pick("notice_id", F.lit("siehe Betreff"), F.col("invoice_number"), misread, F.lit("siehe Zeichen"))
+    docs = rows.select(F.col("notice_id").alias("doc_id"), F.concat(F.lit("Wir mahnen wie folgt an: "), shown, F.lit(" - bitte zahlen.")).alias("text"))
+    when = lambda cond, c: F.when(cond, c)
+    n = F.col("notice_id")
+    fields = rows.select(
+        n.alias("doc_id"), F.lit("first_dunning").alias("kind"), when(n % 5 != 0, F.col("supplier_id")).alias("supplier_id"), when(n % 4 == 0, F.col("invoice_number")).alias("invoice_number"), F.lit(None).cast("bigint").alias("principal_cents"),
+        when(n % 3 == 0, F.col("gross_cents")).alias("gross_cents"), F.lit(None).cast("bigint").alias("payment_cents"), when(n % 2 == 0, F.col("invoice_date")).alias("referenced_date"),
+    )
+    own_case = F.concat(F.lit("AZ"), F.lpad(F.col("invoice_id").cast("string"), 9, "0"))
+    references = rows.where(n % 4 == 3).select(n.alias("doc_id"), own_case.alias("normalized"))
+    cases = t.invoices.select((F.col("invoice_id") + 500).alias("case_id"), "invoice_id")
+    known = t.invoices.select(F.lit("case").alias("owner_kind"), (F.col("invoice_id") + 500).alias("owner_id"), own_case.alias("normalized"))
+    return links.link_documents(docs, fields, references, t.invoices, known, cases)

@@ -39,9 +39,33 @@ def load(spark: SparkSession, folder: str, schemas: Mapping[str, str]) -> dict[s
     return out
 
 
-def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A report as one CSV file with semicolons: a report is small, its rows are put in order first."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
+def report_lines(df: DataFrame, title: str, subtitle: str, order: Sequence[str], money: Sequence[str] = (), totals: Sequence[str] = (), total_label: str = "Summe") -> DataFrame:
+    """(place, line): a report as lines of a CSV file with semicolons, as spreadsheets with German settings read it.
+
+    Title, subtitle and column names come first, behind a byte order mark; cents in ``money`` are written as 1.234,56 and days as
+    dd.mm.yyyy; sums of ``totals`` come last. Values that hold a semicolon, a quote or a line break are quoted; null is empty.
+    """
+    from skonto.functions.money import format_cents
+
+    spark, names = df.sparkSession, df.columns
+    day = {f.name for f in df.schema.fields if f.dataType.typeName() == "date"}
+    plain = lambda c: format_cents(F.col(c), symbol=False) if c in money else F.date_format(c, "dd.MM.yyyy") if c in day else F.col(c).cast("string")
+    quoted = lambda v: F.when(v.rlike('[;"\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    joined = lambda values: F.concat_ws(";", *[F.coalesce(v, F.lit("")) for v in values])
+    head = F.array(*[F.struct(F.lit(k).alias("place"), line.alias("line")) for k, line in enumerate((F.concat(F.lit("\ufeff"), quoted(F.lit(title))), quoted(F.lit(subtitle)), joined([quoted(F.lit(c)) for c in names])))])
+    first = spark.range(1).select(F.inline(head))
+    rows = df.select(F.lit(3).alias("place"), F.struct(*order).alias("order"), joined([quoted(plain(c)) for c in names]).alias("line"))
+    out = first.withColumn("order", F.lit(None).cast(rows.schema["order"].dataType)).select("place", "order", "line").unionByName(rows)
+    if totals:
+        sums = df.agg(*[F.sum(c).alias(c) for c in totals])
+        last = joined([F.coalesce(plain(c), F.lit("0")) if c in totals else F.lit(total_label if k == 0 else "") for k, c in enumerate(names)])
+        out = out.unionByName(sums.select(F.lit(4).alias("place"), F.lit(None).cast(rows.schema["order"].dataType).alias("order"), last.alias("line")))
+    return out.orderBy("place", "order").select("place", "line")
+
+
+def write_report(df: DataFrame, path: str, order: Sequence[str], title: str = "", subtitle: str = "", money: Sequence[str] = (), totals: Sequence[str] = ()) -> None:
+    """A report as one CSV file: a report is small, its rows are put in order first."""
+    report_lines(df, title, subtitle, order, money, totals).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_entries(entries: DataFrame, path: str) -> None:
