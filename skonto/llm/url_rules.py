@@ -184,6 +184,8 @@ def filtered(
         )
     else:
         best = open_sets.select("tokens", F.lit(None).cast("struct<verdict:string,antecedent:array<string>>").alias("mined")).limit(0)
+    # written, so that the rows of a hot token set can be split where they meet its verdict
+    best = materialise(best, "url-verdicts")
     # rows that a given rule judges look nothing up: each has a key of its own, so they don't meet in one task
     key = F.when(F.col("given").isNull(), F.col("tokens")).otherwise(F.array(F.lit(""), F.col("page_id").cast("string"), F.xxhash64("url").cast("string")))
     return judged.withColumn("set", key).join(best.withColumnRenamed("tokens", "set"), "set", "left").select(
