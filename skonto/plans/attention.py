@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skonto import domain as D
 from skonto.functions.dates import aging_bucket
@@ -125,3 +126,38 @@ def ledger_page(entries: DataFrame, entry_type: str | None = None, most: int = 5
 def contains_anywhere(rows: DataFrame, wanted: str) -> DataFrame:
     """Rows of which any column, as text, holds the words, whatever their case."""
     return rows.where(F.contains(F.lower(F.concat_ws("\n", *[F.col(f"`{c}`").cast("string") for c in rows.columns])), F.lit(wanted.lower())))
+
+
+def figures_behind(invoices: DataFrame, entries: DataFrame, unassigned: DataFrame, reconciled: DataFrame, day: date, start: date) -> DataFrame:
+    """(target, id, supplier_id, entry_date, amount_cents): what is behind payments, charges, credits and differences.
+
+    Payments and each kind of charge since ``start`` are entries (id: the invoice, null if there is none), credits are invoices and
+    suppliers, differences are notices. The sum of a target's rows is its figure; ``charges`` is the sum of its four kinds.
+    ``unassigned`` are the entries without an invoice, ``reconciled`` as of ``reconcile``.
+    """
+    inside = (F.col("entry_date") >= F.lit(start)) & (F.col("entry_date") <= F.lit(day)) & F.col("category").isin(D.PAYMENT, *D.CHARGES)
+    paid = F.col("category") == D.PAYMENT
+    target = F.when(paid, "paid_period").otherwise(F.concat(F.lit("charges_"), F.lower("category")))
+    none = F.lit(None).cast("bigint")
+    of = lambda df: df.where(inside).select(target.alias("target"), F.col("invoice_id").alias("id"), "supplier_id", "entry_date", F.when(paid, -F.col("amount_cents")).otherwise(F.col("amount_cents")).alias("amount_cents"))
+    # entries are filtered before their supplier is looked up
+    assigned = entries.where(inside).join(invoices.select("invoice_id", "supplier_id"), "invoice_id")
+    owed = credits(invoices, entries, unassigned, day).select(F.lit("credits").alias("target"), F.col("invoice_id").alias("id"), "supplier_id", F.lit(None).cast("date").alias("entry_date"), F.col("credit_cents").alias("amount_cents"))
+    differ = claim_differences(reconciled).select(F.lit("differences").alias("target"), F.col("notice_id").alias("id"), none.alias("supplier_id"), F.lit(None).cast("date").alias("entry_date"), F.abs("difference_cents").alias("amount_cents"))
+    return of(assigned).unionByName(of(unassigned.withColumn("invoice_id", none))).unionByName(owed).unionByName(differ)
+
+
+def attention_report(most: int = 8, **lists: tuple[DataFrame, str, str, list[Column]]) -> DataFrame:
+    """(list, place, id, amount_cents, total): the first of several lists, and how long each is in all.
+
+    Each list is a frame, its id and amount columns, and its order.
+    """
+    out = None
+    for name, (df, key, amount, order) in lists.items():
+        named = df.select(F.col(key).cast("bigint").alias("id"), F.col(amount).cast("bigint").alias("amount_cents"), F.struct(*order).alias("order"))
+        first = named.orderBy("order").limit(most)  # each task keeps so many, and so does the one that merges them
+        n = named.agg(F.count("*").alias("total"))
+        placed = first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("order"))).crossJoin(F.broadcast(n))  # one row
+        part = placed.select(F.lit(name).alias("list"), "place", "id", "amount_cents", "total")
+        out = part if out is None else out.unionByName(part)
+    return out

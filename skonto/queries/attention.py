@@ -9,7 +9,7 @@ from skonto import domain as D
 from skonto.operators import ledger as L
 from skonto.operators import notices as N
 from skonto.plans import attention as A
-from skonto.queries.base import AS_OF, ENTRIES, INVOICES, LEDGER, NOTICES
+from skonto.queries.base import AS_OF, ENTRIES, INVOICES, LEDGER, NOTICES, START
 from skonto.queries.ledger import _CLAIMS, _claims, _items, _typed
 from skonto.sources.ledger_tables import LedgerTables
 
@@ -103,3 +103,40 @@ def payments_of_company(t: LedgerTables) -> DataFrame:
     paid = t.invoices.select(F.col("invoice_id").alias("payment_id"), "company_id", "hotel_id")
     parts = paid.select("payment_id", F.explode(F.array("payment_id", F.col("payment_id") + 1)).alias("invoice_id"))
     return A.payments_in_scope(paid, parts, t.invoices, company_id=2).select("payment_id", "company_id", "hotel_id")
+
+
+_CHARGES = "'DUNNING_FEE', 'LATE_INTEREST', 'LATE_PAYMENT_FLAT_FEE', 'COLLECTION_COST'"
+
+
+@query(f"""{LEDGER},{NOTICES}{_CLAIMS}, u AS (SELECT supplier_id, CAST(-sum(amount_cents) AS BIGINT) AS c FROM entries WHERE invoice_id IS NULL AND entry_date <= DATE '{AS_OF}' GROUP BY 1 HAVING sum(amount_cents) < 0),
+n AS (SELECT notice_id, CAST(sum(difference_cents) AS BIGINT) AS d FROM r GROUP BY 1)
+SELECT CASE category WHEN 'PAYMENT' THEN 'paid_period' ELSE 'charges_' || lower(category) END AS target, invoice_id AS id, supplier_id, entry_date, CASE category WHEN 'PAYMENT' THEN -amount_cents ELSE amount_cents END AS amount_cents
+  FROM entries WHERE entry_date BETWEEN DATE '{START}' AND DATE '{AS_OF}' AND category IN ('PAYMENT', {_CHARGES})
+UNION ALL SELECT 'credits', NULL, supplier_id, NULL, c FROM u
+UNION ALL SELECT 'credits', invoice_id, supplier_id, NULL, -balance_cents FROM balance JOIN invoices USING (invoice_id) WHERE balance_cents < 0 AND manual_status <> 'cancelled'
+UNION ALL SELECT 'differences', notice_id, NULL, NULL, abs(d) FROM n WHERE d <> 0""")
+def figures_behind(t: LedgerTables) -> DataFrame:
+    """The payments, charges, credits and differences behind the dashboard's figures."""
+    return A.figures_behind(t.invoices, t.entries_by_invoice, t.unassigned, N.reconcile(_claims(t), _typed(t)), AS_OF, START)
+
+
+@query(f"""{LEDGER},{NOTICES}, {_WORST}, d AS (SELECT invoice_id AS id, balance_cents AS amount_cents, date_diff('day', DATE '{AS_OF}', coalesce(last_deadline, due_date)) AS days_left, invoice_date FROM open_items LEFT JOIN worst USING (invoice_id)),
+twice AS (SELECT invoice_id, supplier_id, gross_cents, invoice_date, manual_status FROM invoices
+    UNION ALL SELECT invoice_id + 10000000, supplier_id, gross_cents, invoice_date + CAST(invoice_id % 20 AS INTEGER), manual_status FROM invoices WHERE invoice_id % 37 = 0),
+x AS (SELECT *, date_diff('day', lag(invoice_date) OVER w, invoice_date) AS between FROM twice WHERE manual_status <> 'cancelled' WINDOW w AS (PARTITION BY supplier_id, gross_cents ORDER BY invoice_date, invoice_id)),
+b AS (SELECT event_id AS id, -CAST(round(value * 100) AS BIGINT) AS amount_cents, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0),
+l AS (SELECT 'deadlines' AS list, row_number() OVER (ORDER BY days_left, invoice_date, id) AS place, id, amount_cents, count(*) OVER () AS total FROM d WHERE days_left BETWEEN 0 AND 7
+  UNION ALL SELECT 'bank_lines', row_number() OVER (ORDER BY day DESC, id), id, amount_cents, count(*) OVER () FROM b
+  UNION ALL SELECT 'duplicates', row_number() OVER (ORDER BY invoice_date DESC, invoice_id), invoice_id, gross_cents, count(*) OVER () FROM x WHERE between <= 14)
+SELECT list, CAST(place AS INTEGER) AS place, id, amount_cents, total FROM l WHERE place <= 8""")
+def attention_report(t: LedgerTables) -> DataFrame:
+    """Deadlines, bank lines that wait and duplicates in one report, the first eight of each."""
+    dated = A.deadlines(_items(t), t.notices, AS_OF, most=None).join(t.invoices.select("invoice_id", "invoice_date"), "invoice_id")
+    waiting = t.bank_lines.where("tx_id % 3 = 0")
+    again = t.invoices.where("invoice_id % 37 = 0").withColumns({"invoice_date": F.date_add("invoice_date", (F.col("invoice_id") % 20).cast("int")), "invoice_id": F.col("invoice_id") + 10_000_000})
+    double = L.duplicate_invoices(t.invoices.unionByName(again))
+    return A.attention_report(
+        deadlines=(dated, "invoice_id", "balance_cents", [F.col("days_left"), F.col("invoice_date"), F.col("invoice_id")]),
+        bank_lines=(waiting, "tx_id", "amount_cents", [-F.unix_date("booking_date").alias("day"), F.col("tx_id")]),
+        duplicates=(double, "invoice_id", "gross_cents", [-F.unix_date("invoice_date").alias("day"), F.col("invoice_id")]),
+    )
