@@ -26,15 +26,14 @@ NAMES = (
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("Unlicense", "The Unlicense"),
 )
-SENTENCES = (
-    "Licensed under {}.",
-    "Licensed under the {}.",
-    "Released under the {}.",
-    "Distributed under the {}.",
-    "This work is licensed under {}.",
-    "This work is licensed under the {}.",
-    "This project is licensed under the {}.",
+ARTICLES = ("the ", "the terms of the ")
+SENTENCES = ("Licensed under {}.", "This work is licensed under {}.") + tuple(
+    f"{grant} under {article}{{}}."
+    for grant in ("Licensed", "Released", "Distributed", "Available", "Published", "This work is licensed", "This project is licensed", "This file is licensed", "This software is licensed")
+    for article in ARTICLES
 )
+#: The short line that names a licence by its identifier.
+IDENTIFIED = "SPDX-License-Identifier: {}"
 NOTICES = (
     (
         "Apache-2.0",
@@ -169,5 +168,50 @@ WHOLE = (
         "General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
 )
-#: (licence id, template text): each name in each sentence, the notices, and the whole texts.
-TEMPLATES = tuple((licence, sentence.format(name)) for licence, name in NAMES for sentence in SENTENCES) + NOTICES + WHOLE
+# How long licence texts begin.
+OPENINGS = (
+    (
+        "GPL-3.0",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take "
+        "away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a "
+        "program--to make sure it remains free software for all its users.",
+    ),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    (
+        "GPL-2.0",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom "
+        "to share and change free software--to make sure the software is free for all its users.",
+    ),
+    (
+        "AGPL-3.0",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the "
+        "case of network server software.",
+    ),
+    (
+        "LGPL-3.0",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional "
+        "permissions listed below.",
+    ),
+    (
+        "MPL-2.0",
+        "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. \"Contributor Version\" means the combination of the "
+        "Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+    ),
+    (
+        "Apache-2.0",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner "
+        "or entity authorized by the copyright owner that is granting the License.",
+    ),
+    (
+        "CC-BY-4.0",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public "
+        "License (\"Public License\").",
+    ),
+    (
+        "CC-BY-SA-4.0",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International "
+        "Public License (\"Public License\").",
+    ),
+)
+#: (licence id, template text): each name in each sentence, the identifiers, notices, openings, and whole texts.
+TEMPLATES = tuple((licence, sentence.format(name)) for licence, name in NAMES for sentence in SENTENCES) + tuple((x, IDENTIFIED.format(x)) for x in sorted({x for x, _ in NAMES})) + NOTICES + OPENINGS + WHOLE

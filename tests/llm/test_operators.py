@@ -75,6 +75,11 @@ def test_licences(spark):
     texts = ["Copyright 2020 Foo. Licensed under the MIT License. See LICENSE for more", "x y z\nthis program is\nreleased under\nthe ISC License today", "a b " * 500 + mit.replace("Software", "Program", 4) + " c" * 300]
     got = {r.doc_id: r for r in licences.licence_scan(docs(spark, texts)).collect()}
     assert [got[k].licence for k in range(3)] == ["MIT", "ISC", "MIT"]
+    # grants in other words, identifiers, and how long texts begin
+    gpl = "Preamble\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\nThe licenses for most software"
+    texts = ["Available under the MIT license", "This file is licensed under the terms of the MIT license", "# SPDX-License-Identifier: Apache-2.0\nimport os", gpl, "SPDX-License-Identifier: GPL-2.0", "available under the table"]
+    got = {r.doc_id: r.licence for r in licences.licence_scan(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == ["MIT", "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", None]
     # every run of template size against every template
     templates = [("A", "one two three four five six"), ("B", "one two three four five six seven eight nine"), ("C", "zwei drei"), ("D", "ha ha ha ho")]
     rng = np.random.default_rng(3)
