@@ -21,6 +21,8 @@ from skonto.functions.text import normalize_reference
 LABELLED, IN_TEXT, REFERENCE, MISREAD, SAME_SUPPLIER, OTHER_SUPPLIER, AMOUNT, DATE, BALANCE = 0.6, 0.45, 0.5, 0.4, 0.15, -0.3, 0.2, 0.15, 0.15
 LEAST, MOST = 0.3, 6
 LEAST_TOKEN, LEAST_MISREAD, POSTED = 4, 6, 6
+#: A compact text is searched in pieces of so many bytes.
+PIECE = 4096
 TOKEN = r"[\p{L}\d][\p{L}\d\-/.]*"
 
 
@@ -38,12 +40,19 @@ def numbers_in_texts(documents: DataFrame, numbers: DataFrame, doc_id: str = "do
 def misread_numbers(documents: DataFrame, numbers: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, invoice_id): invoices whose number stands in a text if characters that look alike are one, across blanks and marks."""
     posted = numbers.where(F.length("number") >= LEAST_MISREAD).select("invoice_id", canonical(F.col("number")).alias("key")).withColumn("tail", F.substr("key", F.length("key") - POSTED + 1))
-    compact = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(canonical(normalize_reference(F.coalesce(F.col(text), F.lit("")))))).alias("said"))
-    ends = F.filter(F.sequence(F.lit(POSTED), F.length("said")), lambda k: F.substr("said", k - POSTED + 1, F.lit(POSTED)).rlike("[0-9].*[0-9]"))
-    # the longest number says how far back a stretch has to reach: only so much of the text goes with it
+    compact = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(canonical(normalize_reference(F.coalesce(F.col(text), F.lit("")))).cast("binary"))).alias("said"))
+    # the longest number says how far back a stretch has to reach; a text is cut into pieces that overlap by so much, and
+    # bytes are cut where they are, so a long text costs no more than its length
     longest = posted.agg(F.coalesce(F.max(F.length("key")), F.lit(POSTED)).alias("longest"))
     able = compact.crossJoin(F.broadcast(longest)).where(F.length("said") >= POSTED)  # one row
-    stretches = able.select("doc_id", F.explode(F.transform(ends, lambda k: F.substr("said", F.greatest(F.lit(1), k - F.col("longest") + 1), F.least(k, F.col("longest"))))).alias("upto"))
+    lead = lambda i: F.least(i, F.col("longest") - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.length("said") - 1, F.lit(PIECE)), lambda i: F.struct(lead(i).alias("lead"), F.substr("said", i - lead(i) + 1, lead(i) + PIECE).alias("piece")))
+    pieces = able.select("doc_id", "longest", F.inline(cut)).where(F.length("piece") >= POSTED)
+    last = lambda k: F.substr("piece", k - POSTED + 1, F.lit(POSTED)).cast("string")
+    first = F.greatest(F.lit(POSTED), F.col("lead") + 1)
+    ends = F.when(first <= F.length("piece"), F.filter(F.sequence(first, F.greatest(first, F.length("piece"))), lambda k: last(k).rlike("[0-9].*[0-9]")))
+    upto = F.transform(ends, lambda k: F.substr("piece", F.greatest(F.lit(1), k - F.col("longest") + 1), F.least(k, F.col("longest"))).cast("string"))
+    stretches = pieces.select("doc_id", F.explode(upto).alias("upto"))
     met = stretches.withColumn("tail", F.substr("upto", F.length("upto") - POSTED + 1)).join(posted, "tail").where(F.col("upto").endswith(F.col("key")))
     return met.select("doc_id", "invoice_id").distinct()
 

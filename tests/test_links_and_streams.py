@@ -35,6 +35,18 @@ def test_links(spark):
     }
 
 
+def test_misread_numbers_in_long_texts(spark, monkeypatch):
+    """A number at every place of a text, in pieces shorter and longer than it."""
+    numbers = spark.createDataFrame([(1, "RE20240158"), (2, "AB1200")], "invoice_id long, number string")
+    rows = [(k, "x" * k + " RE-2O24/OI5B " + "y" * (30 - k)) for k in range(30)] + [(100, "AB12OO"), (101, "B1200"), (102, "q" * 300_000 + "ab 12 oo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(k, 1) for k in range(30)} | {(100, 2), (102, 2)}
+    for piece in (7, 16, 4096):
+        monkeypatch.setattr(links, "PIECE", piece)
+        some = docs if piece > 100 else docs.where("doc_id < 102")
+        assert {tuple(r) for r in links.misread_numbers(some, numbers).collect()} == {w for w in want if piece > 100 or w[0] < 102}
+
+
 def test_payments_report(spark):
     payments = spark.createDataFrame([(1, 5, date(2024, 1, 1), 100), (2, 5, date(2024, 1, 2), 100), (3, 6, date(2024, 1, 3), 50)], "payment_id long, supplier_id long, payment_date date, payment_cents long")
     used = spark.createDataFrame([(1, 11, "costs", 40), (1, 12, "principal", 60), (1, 11, "principal", 0), (2, 12, "principal", 30)], "payment_id long, invoice_id long, component string, allocated_cents long")
