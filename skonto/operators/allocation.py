@@ -32,8 +32,9 @@ def allocate(payments: DataFrame, items: DataFrame, rule: str = D.STATUTORY) ->
     """
     age = [F.coalesce("due_date", "invoice_date"), F.col("invoice_date"), F.col("invoice_id")]
     order = [F.col("stage"), *age] if rule == D.STATUTORY else [*age, F.col("stage")]
-    month = F.trunc(age[0], "MM")
-    parts = open_parts(items).withColumn("chunk", F.struct(F.when(F.lit(rule == D.STATUTORY), F.col("stage")).otherwise(0).alias("stage"), month.alias("month")))
+    month = F.coalesce(F.year(age[0]) * 12 + F.month(age[0]), F.lit(0))
+    stage = F.col("stage") if rule == D.STATUTORY else F.lit(0)
+    parts = open_parts(items).withColumn("chunk", stage * 1_000_000 + month)
     # chunks of a supplier stand in order; their sums are a few hundred rows a supplier
     chunks = parts.groupBy("supplier_id", "chunk").agg(F.sum("open_part_cents").alias("sum"))
     earlier = F.sum("sum").over(Window.partitionBy("supplier_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")
