@@ -25,9 +25,9 @@ from skonto.sources.shared import written
 
 MOST_WORDS = 4
 GAP = "¦"
-#: Words that may stand before a label that is alone on its line.
+# Words before a label that is alone on its line, words that end a value, and what court files, grouped digits and
+# reference numbers look like.
 BEFORE = ("ihre", "ihr", "unsere", "unser", "die", "der", "das", "your", "our")
-#: Words that end a value.
 STOPS = ("vom", "from", "dated", "bei", "und", "and", "für", "zum", "zur", "per", "-", "–")
 LONGEST_VALUE = 60
 COURT = r"\d{1,3} ?[A-Za-zÄÖÜ]{1,3} ?\d{1,5}/\d{2,4}(?![\w/])"

@@ -71,6 +71,7 @@ Sonnenhof Versicherungsmakler AG; Policenring 11; 90403 Nürnberg; sonnenhof-vm.
 ]
 OWN = ("Bergblick Hotels GmbH", "Hotel Bergblick", "Hotel Talfried", "Strandhotel Kranich")
 OWN_ADDRESS = ("Bergstraße 1", "87629 Füssen-Hopfen")
+# Letters that poor scans confuse, and how references are labelled.
 SWAPS = {"ü": "u", "ö": "o", "ä": "a", "l": "1", "o": "0", "m": "rn", "ß": "B", "e": "c", "i": "l", "n": "r"}
 LABELS = {
     "customer_number": ("Kundennummer", "Kunden-Nr.", "Ihre Kundennummer", "Kd.-Nr.", "Kundennr."),
