@@ -233,7 +233,7 @@ def creditor_names(documents: DataFrame, own: DataFrame, doc_id: str = "doc_id",
 def senders(
     documents: DataFrame, parties: DataFrame, aliases: DataFrame, ibans: DataFrame, own: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str = "kind"
 ) -> DataFrame:
-    """One row per letter: author_id, score, reasons, supplier_id, how, creditor_name, and new_name with address and contacts if the author is unknown.
+    """One row per letter: author_id, score, reasons, supplier_id, how, supplier_score of a creditor or payee, creditor_name, and new_name with address and contacts if the author is unknown.
 
     ``documents``: doc_id, text, kind; ``parties``: party_id, name, role, represents_id, vat_id, tax_number, email; ``aliases``: party_id,
     alias; ``ibans``: party_id, iban; ``own``: name.
@@ -272,7 +272,7 @@ def senders(
     new = lambda c: F.when(unknown, c)
     return rows.select(
         F.col("doc_id").alias(doc_id), F.when(~payment, F.col("author_id")).alias("author_id"), F.when(payment, 0.0).otherwise(F.coalesce("score", F.round(0.2 + 0.4 * F.col("plausible"), 3), F.lit(0.0))).alias("score"), F.when(~payment, F.col("reasons")).alias("reasons"),
-        supplier.alias("supplier_id"), how.alias("how"), F.when(supplier.isNull(), F.col("creditor_name")).alias("creditor_name"), new(F.col("name")).alias("new_name"), new(F.col("address")).alias("new_address"),
+        supplier.alias("supplier_id"), how.alias("how"), F.when(how.isin("PAYEE", "CREDITOR"), F.col("creditor_score")).alias("supplier_score"), F.when(supplier.isNull(), F.col("creditor_name")).alias("creditor_name"), new(F.col("name")).alias("new_name"), new(F.col("address")).alias("new_address"),
         new(F.get("vat_ids", F.lit(0))).alias("new_vat_id"), new(F.get("tax_numbers", F.lit(0))).alias("new_tax_number"), new(F.get("emails", F.lit(0))).alias("new_email"), new(F.get("phones", F.lit(0))).alias("new_phone"),
         new(F.slice("ibans", F.lit(1), F.lit(2))).alias("new_ibans"),
     )
