@@ -16,9 +16,12 @@ from skonto.functions.money import parse_amount, percent_of
 from skonto.functions.text import find_iban, normalize_reference
 from skonto.operators import document_rules as R
 from skonto.operators.layouts import complete_fields
+from skonto.operators.needles import may_match
 
 #: Patterns see lines and know letters beyond ASCII. On lower-cased texts they need not ignore case, which is much faster.
 LINES, FLAGS = "(?mU)", "(?imuU)"
+#: What every amount holds.
+HAS_AMOUNT = r"(?U)\d[.,]\d{2}"
 DUNNING_KINDS = ("payment_reminder", "first_dunning", "second_dunning", "final_dunning", "collection_letter", "court_order")
 OTHER = "other"
 
@@ -28,7 +31,7 @@ def class_scores(text: Column) -> Column:
     title = F.substring_index(text, "\n", R.TITLE_LINES)
 
     def score(patterns: tuple[tuple[str, float], ...]) -> Column:
-        hit = lambda rx, w: F.when(text.rlike(LINES + rx.lower()), F.when(title.rlike(LINES + rx.lower()), w * R.TITLE_BONUS).otherwise(float(w))).otherwise(0.0)
+        hit = lambda rx, w: F.when(may_match(text, rx.lower()) & text.rlike(LINES + rx.lower()), F.when(title.rlike(LINES + rx.lower()), w * R.TITLE_BONUS).otherwise(float(w))).otherwise(0.0)
         return reduce(lambda a, b: a + b, [hit(rx, w) for rx, w in patterns])
 
     return F.array(*[F.struct(score(p).alias("score"), F.lit(-k).alias("k"), F.lit(kind).alias("kind")) for k, (kind, p) in enumerate(R.CLASSES.items())])
@@ -36,7 +39,9 @@ def class_scores(text: Column) -> Column:
 
 def classify(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with ``kind`` and ``kind_confidence``; ties go to the kind that is listed first."""
-    ranked = documents.withColumn("_scores", F.sort_array(class_scores(F.lower(F.coalesce(F.col(text), F.lit("")))), asc=False))
+    # a step of its own for the lower-cased text, so that it is made once
+    once = documents.select("*", F.explode(F.array(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_low"))
+    ranked = once.withColumn("_scores", F.sort_array(class_scores(F.col("_low")), asc=False))
     top, second = F.col("_scores")[0]["score"], F.col("_scores")[1]["score"]
     margin = (top - second) / F.greatest(top * 0.6, F.lit(1.0))
     confidence = F.round(F.least(F.lit(1.0), top / 6.0) * (0.55 + 0.45 * F.least(F.lit(1.0), margin)), 3)
@@ -51,36 +56,39 @@ def _label(labels: str, flags: str = LINES) -> str:
 
 
 def labelled_amount(text: Column, labels: str) -> Column:
-    """Cents of the first amount after a label, on its line or at the beginning of the next."""
+    """Cents of the first amount after a label in a lower-cased text, on its line or at the beginning of the next."""
     same = rf"{_label(labels)}[^\n]{{0,90}}?(?<![\w.,'’])({R.AMOUNT})(?!\d)(?![.,]\d)"
     below = rf"{_label(labels)}[^\n\d]*\n[ \t]{{0,12}}({R.AMOUNT})(?!\d)(?![.,]\d)"
     found = F.coalesce(F.nullif(F.regexp_extract(text, same, 1), F.lit("")), F.nullif(F.regexp_extract(text, below, 1), F.lit("")))
-    return parse_amount(F.regexp_replace(found, "[ ’]", ""))
+    return F.when(may_match(text, labels) & text.rlike(HAS_AMOUNT), parse_amount(F.regexp_replace(found, "[ ’]", "")))
 
 
 def summed_amount(text: Column, labels: str) -> Column:
     """The sum of the amounts after all occurrences of a label; null without any."""
     hits = F.regexp_extract_all(text, F.lit(rf"{_label(labels)}[^\n]{{0,90}}?(?<![\w.,'’])({R.AMOUNT})(?!\d)(?![.,]\d)"), F.lit(1))
-    return F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(parse_amount(F.regexp_replace(x, "[ ’]", "")), F.lit(0))))
+    return F.when(may_match(text, labels) & text.rlike(HAS_AMOUNT) & (F.size(hits) > 0), F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(parse_amount(F.regexp_replace(x, "[ ’]", "")), F.lit(0))))
 
 
 def labelled_date(text: Column, labels: str) -> Column:
     """The first date after a label, on its line or the next."""
     found = F.regexp_extract(text, rf"{_label(labels)}[^\n\d]{{0,70}}\n?[^\n\d]{{0,20}}?(?<![\w.,/\-])({R.DATE})(?![\d/\-])", 1)
-    return F.when(found != "", parse_any_date(found))
+    return F.when(may_match(text, labels) & (found != ""), parse_any_date(found))
 
 
 def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with amounts in cents, dates, invoice number, IBAN and VAT rate as far as labels name them."""
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
+    low = F.col("_low")
     amounts = [(summed_amount(low, rx) if k == "fees" else labelled_amount(low, rx)).alias(f"{k}_cents") for k, rx in R.AMOUNTS.items()]
     dates = [labelled_date(low, rx).alias(f"{k}_date") for k, rx in R.DATES.items()]
     number = F.regexp_extract(t, rf"{_label(R.INVOICE_NUMBER, FLAGS)}\s*[:#.]?[ \t]*((?=[\w\-/.]*\d)[\w\-/.]{{2,32}})", 1)
+    # letters that are i or s to a pattern that ignores case, but not when lower-cased
+    told = may_match(F.translate(low, "ſı\u0307", "si"), R.INVOICE_NUMBER)
+    number = F.when(told, number).otherwise("")
     rate = F.regexp_extract(t, rf"{FLAGS}(\d{{1,2}}(?:[.,]\d+)?)\s*%\s*(?:mwst|ust|mehrwertsteuer|umsatzsteuer|vat)", 1)
-    return documents.select(
+    return documents.select("*", F.explode(F.array(F.lower(t))).alias("_low")).select(
         *documents.columns, *amounts, *dates, F.nullif(F.regexp_replace(number, "[.\\-/]+$", ""), F.lit("")).alias("invoice_number"), F.nullif(find_iban(t), F.lit("")).alias("iban"),
-        F.replace(rate, F.lit(","), F.lit(".")).try_cast("decimal(9,4)").alias("vat_rate"),
+        F.when(F.contains(t, F.lit("%")), F.replace(rate, F.lit(","), F.lit(".")).try_cast("decimal(9,4)")).alias("vat_rate"),
     )
 
 
