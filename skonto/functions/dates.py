@@ -83,3 +83,8 @@ def parse_any_date(value: Column) -> Column:
         .when(text.rlike(named), make_day(g(named, 3), F.try_element_at(number, g(named, 2)), g(named, 1)))
         .when(text.rlike(first), make_day(g(first, 3), F.try_element_at(number, g(first, 1)), g(first, 2)))
     )
+
+
+def format_day(value: Column) -> Column:
+    """``dd.mm.yyyy``; an empty string for null."""
+    return F.coalesce(F.date_format(value, "dd.MM.yyyy"), F.lit(""))

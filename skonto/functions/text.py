@@ -76,3 +76,20 @@ def registrable(domain: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """SHA-1 of parts joined by bars; null counts as empty."""
     return F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
+
+
+def lower_ascii(value: Column) -> Column:
+    """A to Z written small, all else as it is."""
+    return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def safe_name(value: Column) -> Column:
+    """A text as a file's name: letters, digits and ``_.-()`` and blanks, 120 characters at most; ``dokument`` if nothing is left, and for null."""
+    kept = F.regexp_replace(F.regexp_replace(value, r"(?U)[^\w.\- ()]", "_"), r"^[ .]+|[ .]+$", "")
+    return F.coalesce(F.nullif(F.substring(kept, 1, 120), F.lit("")), F.lit("dokument"))
+
+
+def sheet_title(value: Column) -> Column:
+    """A text as a sheet's title: 28 characters at most, none that spreadsheets forbid; ``Bericht`` if nothing is left, and for null."""
+    kept = F.regexp_replace(F.regexp_replace(value, r"[\[\]:*?/\\]", "-"), r"^[' ]+|[' ]+$", "")
+    return F.coalesce(F.nullif(F.substring(kept, 1, 28), F.lit("")), F.lit("Bericht"))

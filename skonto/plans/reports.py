@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skonto.functions.dates import overdue_days
+from skonto.functions.text import lower_ascii
 from skonto.operators.notices import reconcile
 
 
@@ -46,3 +48,33 @@ def dunning_overview(claims: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+
+
+def by_name(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A list by name, small and capital letters of ASCII alike, equal names by key."""
+    return df.orderBy(lower_ascii(F.col(name)), key)
+
+
+def open_items_in_order(items: DataFrame, parties: DataFrame) -> DataFrame:
+    """Open items by supplier name, then by due day, those without one last, then by id; ``place`` counts within a name.
+
+    An unknown supplier is ``?``. Names that differ in small and capital letters only are one group, as the order has them.
+    """
+    names = parties.select(F.col("party_id").alias("supplier_id"), "name")
+    named = items.join(names, "supplier_id", "left").withColumn("supplier", F.coalesce("name", F.lit("?"))).drop("name").withColumn("_key", lower_ascii(F.col("supplier")))
+    order = (F.col("due_date").asc_nulls_last(), F.col("invoice_id"))
+    placed = named.withColumn("place", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    return placed.orderBy("_key", "place").drop("_key")
+
+
+def drilled(items: DataFrame, most: int | None = None) -> DataFrame:
+    """Items behind a figure by due day, those without one last, then by id; the first ``most`` or all."""
+    rows = items.orderBy(F.col("due_date").asc_nulls_last(), "invoice_id")
+    return rows if most is None else rows.limit(most)
+
+
+def sorted_by(df: DataFrame, column: str, key: str, descending: bool = False) -> DataFrame:
+    """A table as a user sorts it by any column: numbers and days by value, texts without regard to capitals, empty values first, ties by key."""
+    kind = df.schema[column].dataType.typeName()
+    value: Column = F.lower(F.coalesce(column, F.lit(""))) if kind == "string" else F.col(column)
+    return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_first(), key)
