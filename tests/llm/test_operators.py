@@ -283,6 +283,24 @@ def test_additive_search_with_short_lists(spark):
     assert all(mine[k] == true[k] for k in set(mine) & set(true))
 
 
+@pytest.mark.parametrize("rows", ["close groups", "lengths apart", "far from the origin"])
+def test_additive_search_of_rows_that_codes_tell_apart_badly(spark, rows):
+    """Neighbours differ by less than any code does; all of them are found, though shortlists are short."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1600, 16))
+    if rows == "close groups":
+        v = rng.normal(size=(2, 16))[np.arange(1600) % 2] + v * 1e-4
+    elif rows == "lengths apart":
+        v *= np.exp(3 * rng.normal(size=(1600, 1)))
+    else:
+        v = 1000 + v
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    ask = F.expr("id % 20 = 0")
+    got = additive_search.nearest(df, ask, shortlist=40, block_candidates=800, sample=500)
+    true = {(r.query_id, r.rank): (r.vec_id, r.score) for r in additive_search.brute_force(df, ask).collect()}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()} == true
+
+
 def test_additive_search_by_distance(spark):
     v = np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
