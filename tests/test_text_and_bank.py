@@ -119,6 +119,16 @@ def test_matching(spark):
     assert bank.subset_sum([5, 7, 9, 3], 12) == [0, 1] and bank.subset_sum([5], 5) is None
 
 
+def test_mentions_are_whole_numbers(spark):
+    """A number that begins or ends another one is not meant; blanks, marks and letters end a number."""
+    numbers = ["RE-1996/123456", "RE-1996/1234567", "55001", "5500"]
+    items = spark.createDataFrame([(7, k, n) for k, n in enumerate(numbers)], "supplier_id long, invoice_id long, invoice_number string")
+    said = {1: "Zahlung RE-1996/1234567 vom Konto", 2: "RE 1996 123456 7 EUR", 3: "RE-1996/123456, Nr. 955001", 4: "RE1996123456vom", 5: "Nr.55001–2", 6: "X55001 5500", 7: ""}
+    lines = spark.createDataFrame([(k, p, "", "") for k, p in said.items()], "tx_id long, purpose string, reference string, counterparty_name string")
+    got = {(r.tx_id, r.invoice_id) for r in bank.number_mentions(lines, items).collect()}
+    assert got == {(1, 1), (2, 0), (2, 1), (3, 0), (4, 0), (5, 2), (6, 2), (6, 3)}
+
+
 INVOICE = "Muster GmbH\n\nRechnung Nr. RE-2024/001\nRechnungsdatum: 15.03.2024\nKundennummer: K-4711\nNettobetrag 1.000,00 EUR\nzzgl. 19 % MwSt. 190,00 EUR\nGesamtbetrag 1.190,00 EUR\nzahlbar bis 14.04.2024\n"
 LETTER = "2. Mahnung\nMahndatum: 01.05.2024\nHauptforderung 1.190,00\nMahngebühr 5,00\nGesamtforderung 1.195,00\n"
 
