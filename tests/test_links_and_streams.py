@@ -47,6 +47,16 @@ def test_misread_numbers_in_long_texts(spark, monkeypatch):
         assert {tuple(r) for r in links.misread_numbers(some, numbers).collect()} == {w for w in want if piece > 100 or w[0] < 102}
 
 
+def test_misread_numbers_are_whole(spark, monkeypatch):
+    """A number that begins or ends another one is not meant, also where its digits are read as letters."""
+    numbers = spark.createDataFrame([(1, "RE1996123456"), (2, "RE19961234567"), (3, "4711234"), (4, "RE19961234568")], "invoice_id long, number string")
+    said = ["RE - I996/I234S67 offen", "RE-I996/I234S6", "RE-1996/123456Seite", "RE-1996/12345678", "94711234", "O47II234", "x4711234", "RE-1996/123456 7", "RE 1996/12345I–B", "RE-1996/123456 - bitte"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for piece in (7, 4096):
+        monkeypatch.setattr(links, "PIECE", piece)
+        assert {tuple(r) for r in links.misread_numbers(docs, numbers).collect()} == {(0, 2), (1, 1), (2, 1), (6, 3), (7, 1), (7, 2), (9, 1)}
+
+
 def test_payments_report(spark):
     payments = spark.createDataFrame([(1, 5, date(2024, 1, 1), 100), (2, 5, date(2024, 1, 2), 100), (3, 6, date(2024, 1, 3), 50)], "payment_id long, supplier_id long, payment_date date, payment_cents long")
     used = spark.createDataFrame([(1, 11, "costs", 40), (1, 12, "principal", 60), (1, 11, "principal", 0), (2, 12, "principal", 30)], "payment_id long, invoice_id long, component string, allocated_cents long")
