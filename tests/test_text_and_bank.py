@@ -144,6 +144,15 @@ def test_documents(spark):
     assert {(r.ref_type, r.normalized) for r in refs.where("doc_id = 1").collect()} == {("customer_number", "K4711")}
 
 
+def test_patterns_of_fields_run_once(spark):
+    """Each pattern on a text stands in the plan once or twice, not once for each use of what it finds."""
+    docs = spark.createDataFrame([(1, INVOICE)], "doc_id long, text string")
+    one = documents.extract_fields(docs).select("gross_cents", "due_date", "invoice_number")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(_low") <= 3 and plan.count("regexp_extract(text") <= 1
+    assert tuple(one.first()) == (119_000, date(2024, 4, 14), "RE-2024/001")
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "Müller Bau, Rechnung"), (2, "Rechnung Nr 5"), (3, None)], "doc_id long, text string")
     index = search.inverted_index(docs)
